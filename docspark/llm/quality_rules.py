@@ -22,8 +22,8 @@ THRESHOLDS: list[tuple[str, str, float | None, float | None]] = [
     ("length", "n_words", 50, None),
     ("repeated_words", "repeat_ratio", None, 0.5),
     ("mean_word_length", "mean_word_chars", 2.0, 20.0),
-    ("symbols", "symbol_ratio", None, 0.25),
-    ("stop_words", "stop_ratio", 0.02, None),
+    ("symbols", "symbol_ratio", None, 0.1),
+    ("stop_words", "stop_ratio", 0.06, None),
     ("repeated_lines", "dup_line_ratio", None, 0.5),
 ]
 
@@ -156,8 +156,8 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-         AND word_chars / n_words >= 2.0 AND word_chars / n_words <= 20.0 AND n_symbols / word_chars <= 0.25
-         AND n_stop_words / n_words >= 0.02 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AS kept,
+         AND word_chars / n_words >= 2.0 AND word_chars / n_words <= 20.0 AND n_symbols / word_chars <= 0.1
+         AND n_stop_words / n_words >= 0.06 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AS kept,
        n_stop_words, n_lines
 FROM b
 """
