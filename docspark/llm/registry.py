@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import bpe_encode, exact_dedup, quality_rules
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op5_bpe": bpe_encode.op5_bpe,
     }
 
 
