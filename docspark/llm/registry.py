@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_encode, exact_dedup, quality_rules
+from . import bpe_encode, exact_dedup, packing, quality_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_bpe": bpe_encode.op5_bpe,
+        "op7_packing": packing.op7_packing,
     }
 
 
