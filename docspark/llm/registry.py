@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_encode, exact_dedup, packing, quality_rules
+from . import bpe_encode, exact_dedup, line_dedup, packing, quality_rules, url_filters
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_bpe": bpe_encode.op5_bpe,
         "op7_packing": packing.op7_packing,
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op10_url_filter": url_filters.op10_url_filter,
     }
 
 
@@ -18,4 +20,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.SQL,
         "op3_quality_rules": quality_rules.SQL,
+        "op1_line_dedup": line_dedup.SQL,
     }
