@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_encode, exact_dedup, line_dedup, packing, quality_rules, url_filters
+from . import bpe_encode, exact_dedup, line_dedup, packing, quality_rules, url_filters, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op7_packing": packing.op7_packing,
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op10_url_filter": url_filters.op10_url_filter,
+        "op8_warc": warc.op8_warc,
     }
 
 
