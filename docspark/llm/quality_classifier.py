@@ -9,6 +9,7 @@ are computed once; the model is fitted on a bounded sample of them.
 
 from __future__ import annotations
 
+import operator
 import re
 
 import numpy as np
@@ -40,11 +41,11 @@ def features(text: str) -> list[float]:
         np.log1p(len(words)), min(30.0, len(raw) / n), short / n,
         np.log1p(100 * capital / chars), np.log1p(100 * (share(_DIGITS) if raw else 0.0)), letters,
         distinct / n, np.log1p(distinct) / np.log1p(n), np.log1p(n / max(1, len(lines))),
-        1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(_SENTENCE.findall(text)))), *marks,
+        sum(map(operator.eq, words, words[1:])) / n, 1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(_SENTENCE.findall(text)))), *marks,
     ]
 
 
-WIDTH = 11 + len(_MARKS)
+WIDTH = 12 + len(_MARKS)
 
 
 def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,7 +97,7 @@ def class_prior(score_p: np.ndarray, score_u: np.ndarray, least_tail: float = 0.
     return float(np.clip(tu[best] / max(tp[best], 1e-9), 0.02, 0.98))
 
 
-def fit(xp: np.ndarray, xu: np.ndarray, steps: int = 400, decay: float = 1e-3, beta: float = 0.0, gamma: float = 1.0) -> Model:
+def fit(xp: np.ndarray, xu: np.ndarray, steps: int = 400, decay: float = 1e-4, beta: float = 0.0, gamma: float = 1.0) -> Model:
     """xp: features of trusted positives, xu: of unlabelled texts. Without either, a model that scores one half."""
     if not len(xp) or not len(xu):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(2 * WIDTH + 1), 0.5)

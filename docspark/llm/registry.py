@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_encode, exact_dedup, line_dedup, packing, quality_rules, url_filters, warc
+from . import bpe_encode, exact_dedup, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, url_filters, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op10_url_filter": url_filters.op10_url_filter,
         "op8_warc": warc.op8_warc,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+        "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     }
 
 
