@@ -223,7 +223,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     others = counts.where((F.col("n") > 0) & ~F.col("h").isin(top)) if top else counts.limit(0)
     words = WordModel({r.c: r.m for r in others.groupBy(_bin(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("m")).collect()})
 
-    frequent = counts.where((F.col("n") + F.col("other")) * lexicon > (every or 0)).select("h", "n").toPandas().sort_values("h")  # fewer than lexicon
+    often = ((F.col("n") + F.col("other")) * lexicon > (every or 0)) | F.col("h").isin(top or [0])
+    frequent = counts.where(often).select("h", "n").toPandas().sort_values("h")  # fewer than lexicon + classes
     hashes, n = frequent["h"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
     at_class = {h: i for i, h in enumerate(top)}
     of = np.fromiter(map(at_class.get, hashes.tolist(), repeat(rare)), np.int64, len(hashes))
