@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_encode, exact_dedup, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, url_filters, warc
+from . import bpe_encode, exact_dedup, line_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, url_filters, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op6_lm_scoring": lm_scoring.op6_lm_scoring,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
     }
 
 

@@ -133,25 +133,21 @@ def choose_responses(pages: DataFrame, id_col: str, html_col: str, least_bytes:
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                   least_bytes: int = 0, sample_records: int = 1_000, sample_bytes: int = 8 << 20, dictionary_bytes: int = 64 << 10,
+                   least_bytes: int = 0, sample_records: int = 1_000, sample_bytes: int = 16 << 20, dictionary_bytes: int = 64 << 10,
                    file_bytes: int = 32 << 20, level: int = 3) -> DataFrame:
     """Writes pages as archives into folder and returns one row per file: path, n_records.
 
     Of pages with equal payloads of at least least_bytes bytes, the one with the largest id is the response and the
     others revisit it; pages whose id is null or repeated with the same payload are responses each. A null html is an
-    empty payload, a null url leaves the target out. The dictionary is built from ``sample_records`` records and
-    ``sample_bytes`` bytes at most. An empty table gives no files.
+    empty payload, a null url leaves the target out. The dictionary is built from ``sample_records`` records at most, each cut so
+    that all take ``sample_bytes`` bytes. An empty table gives no files.
     """
     import zstandard
 
     spark = pages.sparkSession
     p = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    few, room = [], sample_bytes
-    for r in p.limit(sample_records).toLocalIterator():
-        if room <= 0:
-            break
-        few.append(make_record(r.page, r.url, bytes(r.payload))[:room])
-        room -= len(few[-1])
+    start = p.withColumn("payload", F.substring("payload", 1, sample_bytes // sample_records))
+    few = [make_record(r.page, r.url, bytes(r.payload)) for r in start.take(sample_records)]
     words = spark.sparkContext.broadcast(dictionary(few, dictionary_bytes) if few else b"")
     revisits = choose_responses(pages, id_col, html_col, least_bytes)
     revisits = materialise(revisits.distinct(), "revisits")
