@@ -130,7 +130,9 @@ def _sets(n: int, percent: int):
                     x = ngram_set(text, n)
                     for c, v in zip(cols, (len(x), set_class(x), fragment_keys(x, cuts).tobytes() if len(x) else b"")):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["id", "n", "cls", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
+                                                   pa.array([int.from_bytes(c[:8], "little", signed=True) for c in cols[1]], pa.int64()), pa.array(cols[2], pa.binary())],
+                                                  ["id", "n", "cls", "node", "keys"])
 
     return run
 
@@ -283,19 +285,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).cast("binary").alias("t"))
-    sets = materialise(rows.mapInArrow(_sets(n, percent), f"id {kind}, n long, cls binary, keys binary"), "sets")
+    sets = materialise(rows.mapInArrow(_sets(n, percent), f"id {kind}, n long, cls binary, node long, keys binary"), "sets")
 
     # classes of equal sets; reduced within salts, so that no class's rows meet in one task
-    light = sets.select("id", "n", "cls", F.pmod(F.xxhash64("id", "cls"), F.lit(_SALTS)).alias("salt"))
-    salted = materialise(light.where("n > 0").groupBy("cls", "salt").agg(F.min("id").alias("id"), F.first("n").alias("n")), "salted")
-    classes = materialise(salted.groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    light = sets.select("id", "n", "cls", "node", F.pmod(F.xxhash64("id", "cls"), F.lit(_SALTS)).alias("salt"))
+    salted = materialise(light.where("n > 0").groupBy("cls", "salt").agg(F.min("id").alias("id"), F.first("node").alias("node")), "salted")
+    classes = materialise(salted.groupBy("cls").agg(F.min("id").alias("rep"), F.first("node").alias("node")), "classes")
 
     dealt = sets.where(F.octet_length("keys") > 0).select("cls", "keys").mapInArrow(_deal(4 * parts), "bucket long, rows binary")
     ties = dealt.repartition(parts, "bucket").select("rows").mapInArrow(_tie, "a long, b long").distinct()
     groups = connected_components(materialise(ties, "ties"))
 
-    short = F.conv(F.hex(F.reverse(F.substring("cls", 1, 8))), 16, -10).cast("long")  # the digest's first bytes, little-endian
-    wanted = classes.withColumn("node", short).join(groups, "node").select(F.col("component").alias("grp"), "rep", "cls").where("rep IS NOT NULL")
+    wanted = classes.join(groups, "node").select(F.col("component").alias("grp"), "rep", "cls").where("rep IS NOT NULL")
     found = materialise(_fetch(docs, materialise(wanted, "wanted"), id_col, text_col, n), "group-sets")
     sizes = found.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("x").cast("long")).alias("bytes")).where("m > 1")
     sizes = sizes.select("grp", F.greatest(F.ceil(F.col("m") / _BLOCK), F.ceil(F.col("bytes") / _BLOCK_BYTES)).cast("int").alias("blocks"))
