@@ -41,3 +41,12 @@ def whole_text(text: str | Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, most: int = 500_000) -> DataFrame:
+    """docs, with its columns, without the rows that gone names by ``id`` and ``h``, the xxhash64 of the text. The list
+    is broadcast only if it is short, as counted; else it is joined by a shuffle."""
+    gone = materialise(gone.select(F.col("id").alias("_gone"), F.col("h").alias("_hash")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= most else gone
+    same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(whole_text(docs[text_col])) == gone["_hash"])
+    return docs.join(gone, same, "left_anti")

@@ -317,9 +317,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with their columns, of the smallest id of each component. Rows without an id stay."""
     found = jaccard_components(docs, id_col, text_col, n, percent)
-    gone = materialise(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "near-copies")
+    gone = materialise(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= 500_000 else gone
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, whole_text
+from .common import materialise, table, whole_text, without
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGITS = b"0123456789"
@@ -53,10 +53,11 @@ def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                rows = [features(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float32()))], ["id", "x"])
+                rows = [features(x) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.list_(pa.float32()))], ["id", "h", "x"])
 
-    return docs.select(id_col, whole_text(text_col)).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, x array<float>")
+    text = whole_text(text_col)
+    return docs.select(id_col, F.xxhash64(text).alias("h"), text).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, h long, x array<float>")
 
 
 class Model:
@@ -129,34 +130,44 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
-          positives: int = 20_000, unlabelled: int = 20_000) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted.
-
-    labels has the id and ``quality``; only rows labelled 1 that are not held out are used. The model is fitted on at
-    most ``positives`` labelled and ``unlabelled`` other rows, those with the smallest hashes of their ids. Null and
-    empty texts are scored, too. Repeated rows are scored each; without positives or texts every score is one half.
-    """
+def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, positives: int, unlabelled: int) -> DataFrame:
+    """id, h (hash of the text), held_out, score."""
     x = materialise(feature_table(docs, id_col, text_col).withColumn("held_out", held_out("id")), "features")
     train = x.where(~F.col("held_out"))
     good = labels.where("quality = 1").select(F.col(id_col).alias("id")).distinct()
-    order = F.xxhash64("id")
 
     def sample(rows, n):
-        got = rows.select("x", order.alias("h")).orderBy("h").limit(n).toPandas()
+        got = rows.select("x", F.xxhash64("id").alias("h")).orderBy("h").limit(n).toPandas()
         return np.stack(got["x"].to_numpy()).astype(float) if len(got) else np.empty((0, WIDTH))
 
     model = fit(sample(train.join(good, "id", "left_semi"), positives), sample(train, unlabelled))
-    kind = dict(x.dtypes)["id"]
 
     def run(batches):
         for batch in batches:
             flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(model.score(flat.astype(float)))], ["id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), batch.column("held_out"), pa.array(model.score(flat.astype(float)))], ["id", "h", "held_out", "score"])
+
+    return x.mapInArrow(run, f"id {dict(x.dtypes)['id']}, h long, held_out boolean, score double")
+
 
-    rows = x.mapInArrow(run, f"id {kind}, held_out boolean, score double")
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
+          positives: int = 20_000, unlabelled: int = 20_000) -> DataFrame:
+    """One row per input row: id, held_out, score, predicted.
+
+    labels has the id and ``quality``; only rows labelled 1 that are not held out are used. The model is fitted on at
+    most ``positives`` labelled and ``unlabelled`` other rows, those with the smallest hashes of their ids. Null and
+    empty texts are scored, too. Repeated rows are scored each; without positives or texts every score is one half.
+    """
+    rows = scored(docs, labels, id_col, text_col, positives, unlabelled)
     return rows.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
+              positives: int = 20_000, unlabelled: int = 20_000) -> DataFrame:
+    """The rows of docs, with their columns, that score at least ``threshold``."""
+    rows = scored(docs, labels, id_col, text_col, positives, unlabelled)
+    return without(docs, rows.where(F.col("score") < threshold), id_col, text_col)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
