@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.functions.text import tokens
 
@@ -28,7 +29,10 @@ def changed_tokens(pairs: DataFrame, by: list[str]) -> DataFrame:
     return one("after", 1).unionByName(one("before", -1)).groupBy(*by, "token").agg(F.sum("n").cast("long").alias("change")).where("change <> 0")
 
 
-@F.pandas_udf("array<struct<op:string,before:string,after:string>>")
+_CHANGE = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("op", "before", "after")]))
+
+
+@F.pandas_udf(_CHANGE)
 def sequence_changes(before: pd.Series, after: pd.Series) -> pd.Series:
     """Token changes in order: replaced blocks paired one to one, the rest inserted or deleted."""
     def diff(a: str | None, b: str | None):

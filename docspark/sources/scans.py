@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def sniff_html(c: str) -> Column:
     return F.lower(F.ltrim(F.substring(c, 1, 256))).rlike(r"^(<!doctype html|<html)")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(text: pd.Series) -> pd.Series:
     """Composed Unicode form; only for text that isn't ASCII."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
