@@ -70,7 +70,7 @@ class Classes(dict):
         self.known, self.rare = {h: i for i, h in enumerate(hashes)}, len(hashes)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        new = set(words) - self.keys()
+        new = {w for w in set(words) if w not in self}
         if len(self) + len(new) > _FLUSH:
             self.clear()
             new = set(words)
@@ -85,12 +85,14 @@ def _count_pairs(hashes: list[int]):
         rare, end = width - 2, width - 1
         cells = np.zeros(width * width, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                x = classes.of(words_of(text.as_py()))
-                x = np.concatenate([[end], x, [end]])  # as a context, the end is the start of a text
-                cells += np.bincount(x[:-1] * width + x[1:], minlength=width * width) if len(x) > 5_000 else 0
-                if len(x) <= 5_000:
-                    np.add.at(cells, x[:-1] * width + x[1:], 1)
+            for lo in range(0, batch.num_rows, 512):
+                texts = [words_of(t) for t in batch.column(0).slice(lo, 512).to_pylist()]
+                x = np.full(sum(len(t) + 1 for t in texts) + 1, end)  # as a context, the end is the start of a text
+                inside = np.ones(len(x), bool)
+                inside[0] = False
+                inside[np.cumsum([len(t) + 1 for t in texts])] = False
+                x[inside] = classes.of([w for t in texts for w in t])
+                cells += np.bincount(x[:-1] * width + x[1:], minlength=width * width)
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cells[at], pa.int64())], ["cell", "n"])
 
@@ -181,7 +183,7 @@ class Words(dict):
         self.hashes, self.rare = hashes, []
 
     def places(self, words: list[bytes]) -> np.ndarray:
-        new = set(words) - self.keys()
+        new = {w for w in set(words) if w not in self}
         if len(self) + len(new) > _FLUSH:
             self.clear()
             self.rare, new = [], set(words)
