@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions import dates, fonts as font_names, geometry, numbers, provenance, text
-from docspark.operators import equations, fonts, fusion, layout, ocr, spatial, versions
+from docspark.operators import detectors, equations, fonts, fusion, invoices, layout, ocr, spatial, versions
 from docspark.sources.scans import sniff_html, table
 
 QUERIES: dict = {}
@@ -507,3 +507,92 @@ def font_baseline(spark, d):
 def font_identity(spark, d):
     name = F.concat(F.when(F.col("p_partkey") % 3 == 0, "").otherwise("ABCDEF+"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("-Bold"))
     return table(spark, d, "part").select("p_partkey", font_names.subset_tag(name).alias("tag"), font_names.base(name).alias("base"), font_names.family(name).alias("family"))
+
+
+# -- invoices from cells, detectors -------------------------------------------------------------------------------
+
+def _cells(spark, d):
+    t = _totals(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_orderkey") == F.col("l_orderkey"))
+    cells = F.array(*[F.struct(F.lit(r).alias("role"), c.cast("double").alias("value")) for r, c in (
+        ("subtotal", F.col("subtotal")), ("discount", F.col("discount")), ("cgst", F.col("half")), ("sgst", F.col("half")), ("gst", F.col("tax")), ("grand_total", F.col("o_totalprice")))])
+    return t.select("l_orderkey", F.explode(cells).alias("c")).select("l_orderkey", "c.role", "c.value")
+
+
+@query(f"""
+SELECT l_orderkey, subtotal - discount + (half::DECIMAL(28,6) + half::DECIMAL(28,6))::DOUBLE AS expected, o_totalprice AS stated
+FROM (SELECT * FROM ({_TOTALS}) JOIN orders ON o_orderkey = l_orderkey)""")
+def inv_grand_total(spark, d):
+    return invoices.grand_total(_cells(spark, d), ["l_orderkey"])
+
+
+@query(f"SELECT l_orderkey, (half::DECIMAL(28,6) + half::DECIMAL(28,6))::DOUBLE AS expected, tax AS stated FROM ({_TOTALS}) JOIN orders ON o_orderkey = l_orderkey")
+def inv_tax_sum(spark, d):
+    return invoices.tax_sum(_cells(spark, d), ["l_orderkey"])
+
+
+@query("""
+WITH r AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'purchase' THEN 'amount' WHEN 'click' THEN 'qty' WHEN 'view' THEN 'description' END AS role FROM events)
+SELECT user_id, day, count(role) >= 2 AND count(*) FILTER (role IN ('qty', 'rate', 'amount')) > 0 AS is_header FROM r GROUP BY 1, 2""")
+def inv_header_lines(spark, d):
+    t = F.col("event_type")
+    label = F.when(t == "purchase", "Line Total").when(t == "click", "No. of Days").when(t == "view", "Particulars").otherwise("?")
+    return invoices.header_lines(table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), label.alias("text")), ["user_id", "day"])
+
+
+@query("SELECT l_orderkey, l_returnflag AS role, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1")
+def inv_unique_roles(spark, d):
+    cells = table(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("role"), "l_linenumber")
+    return invoices.unique_roles(cells, ["l_orderkey"])
+
+
+@query()
+def inv_logical(spark, d):
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("doc_id"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("page"),
+        F.lit(1).alias("tables"), F.when(F.col("o_orderstatus") != "P", F.substring("o_orderpriority", 1, 1)).alias("anchor"), (F.col("o_orderstatus") == "F").alias("title"),
+        F.when(F.col("o_orderstatus") != "O", "qty,rate,amount").alias("roles"), F.lit(False).alias("continued"), F.lit(2).alias("triples"), (F.col("o_totalprice") > 200_000).alias("terminal"))
+    return invoices.logical_invoices(rows).select("doc_id", "page", "invoice", "confidence")
+
+
+_FONT_SQL = "CASE l_returnflag WHEN 'A' THEN 'ABCDEF+Helvetica' WHEN 'N' THEN 'GHIJKL+Helvetica' ELSE 'Courier-Bold' END"
+
+
+@query(f"""
+WITH g AS (SELECT l_orderkey, {_FONT_SQL} AS f, count(*) AS n FROM lineitem GROUP BY 1, 2),
+b AS (SELECT l_orderkey, f AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, f) AS k FROM g) WHERE k = 1)
+SELECT g.l_orderkey, dominant, sum(CASE WHEN f <> dominant AND f LIKE '%+Helvetica' AND dominant LIKE '%+Helvetica' THEN n ELSE 0 END)::BIGINT AS n_subset,
+  sum(CASE WHEN (f LIKE 'Courier%') <> (dominant LIKE 'Courier%') THEN n ELSE 0 END)::BIGINT AS n_family FROM g JOIN b ON g.l_orderkey = b.l_orderkey GROUP BY 1, 2""")
+def font_token_mix(spark, d):
+    flag = F.col("l_returnflag")
+    font = F.when(flag == "A", "ABCDEF+Helvetica").when(flag == "N", "GHIJKL+Helvetica").otherwise("Courier-Bold")
+    return detectors.token_font_mix(table(spark, d, "lineitem").select("l_orderkey", font.alias("fontname")), ["l_orderkey"])
+
+
+@query("""
+SELECT user_id, CASE WHEN n <= 1 THEN 'inconclusive' WHEN p > 0 AND c > 0 THEN 'high' WHEN s > 0 THEN 'medium' ELSE 'low' END AS tier,
+  CASE WHEN n <= 1 THEN NULL WHEN p > 0 AND c > 0 THEN 95 WHEN s > 0 THEN 55 ELSE 15 END::INT AS score
+FROM (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'signup') AS s FROM events GROUP BY 1)""")
+def rev_score(spark, d):
+    is_ = lambda t: F.count_if(F.col("event_type") == t) > 0
+    n = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), is_("purchase").alias("p"), is_("click").alias("c"), is_("signup").alias("s"))
+    tier, points = detectors.revision_score(F.col("n"), F.col("p"), F.lit("amount"), F.col("c"), {"overlay": F.col("s")})
+    return n.select("user_id", tier.alias("tier"), points.alias("score"))
+
+
+_META = """SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'Smallpdf' WHEN o_orderstatus = 'P' THEN '4.2' ELSE 'Billing' END AS producer,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'Mozilla/5.0' END AS creator FROM orders"""
+
+
+@query(f"""
+WITH m AS ({_META}), k AS (
+SELECT doc_id, unnest([CASE WHEN producer = 'Smallpdf' THEN 'web_editor_producer' END, CASE WHEN producer = '4.2' THEN 'version_only_producer' END,
+  CASE WHEN creator IS NOT NULL THEN 'browser_creator' END, CASE WHEN producer <> 'Billing' AND creator IS NOT NULL THEN 'composite_edit_footprint' END]) AS kind FROM m)
+SELECT doc_id, kind, (CASE kind WHEN 'web_editor_producer' THEN 45 WHEN 'version_only_producer' THEN 35 WHEN 'browser_creator' THEN 20 ELSE 55 END)::INT AS score,
+  CASE WHEN kind IN ('web_editor_producer', 'composite_edit_footprint') THEN 'medium' ELSE 'low' END AS tier FROM k WHERE kind IS NOT NULL""")
+def prov_findings(spark, d):
+    status = F.col("o_orderstatus")
+    none = [F.lit(None).cast("string").alias(x) for x in ("creation_date", "mod_date", "xmp_producer", "id_first", "id_second")]
+    meta = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.when(status == "F", "Smallpdf").when(status == "P", "4.2").otherwise("Billing").alias("producer"),
+        F.when(F.col("o_orderpriority").startswith("1"), "Mozilla/5.0").alias("creator"), *none)
+    return detectors.provenance_findings(meta)
