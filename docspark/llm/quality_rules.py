@@ -124,8 +124,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of docs, with their columns, that the rules keep."""
     q = F.col("_q")
-    df = quality_metrics(docs, text_col)
-    return df.where(verdict(q, thresholds) & ~(100 * q.n_repeat_words > 50 * q.n_words)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the id is not deterministic to Spark, so it won't move the filter below the metrics, where each would be written
+    # out again for every mention of it
+    df = quality_metrics(docs, text_col).withColumn("_row", F.monotonically_increasing_id())
+    return df.where((F.col("_row") >= 0) & verdict(q, thresholds) & ~(100 * q.n_repeat_words > 50 * q.n_words)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
