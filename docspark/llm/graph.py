@@ -11,18 +11,23 @@ from .common import materialise
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node that can be reached), for every node that an edge names.
 
-    Labels go to neighbours, and then each label is replaced by its own label, so rounds grow with the logarithm of
-    the longest path. Each round is written to the shared folder. Edges with a null end are left out.
+    In a round every node takes the smallest of its neighbours and itself, and then what that one took; edges are then
+    drawn between what their ends took, so the graph shrinks by a factor each round until no edge is left. Each round is
+    written to the shared folder. Edges with a null end are left out.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    e = materialise(e.union(e.select("b", "a")).distinct(), "edges")
-    labels = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")).select("node", F.least("node", "l").alias("label"))
-    labels = materialise(labels, "labels")
-    while True:
-        heard = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        near = materialise(labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "near")
-        own = near.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        after = materialise(near.join(own, "label").select("node", "old", F.least("label", "jump").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if not after.where("old <> label").head(1):
-            return labels.select("node", F.col("label").alias("component"))
+    ends = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    e = edges.select(*ends(F.col(a), F.col(b))).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+    e, found = materialise(e, "edges"), None
+    while found is None or e.head(1):
+        both = e.union(e.select("b", "a"))
+        took = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m"))
+        took = materialise(took, "took")
+        labels = materialise(took.join(took.select(F.col("node").alias("m"), F.col("m").alias("label")), "m").select("node", "label"), "labels")
+        if found is None:
+            found = labels.withColumnRenamed("label", "component")
+        else:
+            on = labels.select(F.col("node").alias("component"), "label")
+            found = materialise(found.join(on, "component", "left").select("node", F.coalesce("label", "component").alias("component")), "components")
+        first, second = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+        e = materialise(e.join(first, "a").join(second, "b").where("la <> lb").select(*ends(F.col("la"), F.col("lb"))).distinct(), "edges")
+    return found
