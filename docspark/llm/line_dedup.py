@@ -77,7 +77,7 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
         def clean(site, text, keys):
             return _clean(site, text, sent.value)
 
-        rows = docs.withColumn("_bad", F.lit(None).cast("array<binary>"))
+        rows = docs.withColumn("__docspark_bad", F.lit(None).cast("array<binary>"))
     else:
         rows = _with_keys(docs, bad, site_col, text_col)
 
@@ -97,7 +97,7 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
                 yield pa.RecordBatch.from_arrays(arrays, [*columns, "_n_lines", "_n_dropped"])
 
     schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in columns) + ", _n_lines long, _n_dropped long"
-    return rows.select(*[F.col(f"`{c}`") for c in columns], "_bad").mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], "__docspark_bad").mapInArrow(run, schema)
 
 
 def _clean(site, text, keys):
@@ -109,7 +109,7 @@ def _clean(site, text, keys):
 
 
 def _with_keys(docs: DataFrame, bad: DataFrame, site_col: str, text_col: str, salts: int = 32) -> DataFrame:
-    """docs with _bad, the keys of its own lines that are to be dropped, by joins whose keys are spread over salts."""
+    """docs with __docspark_bad, the keys of its own lines that are to be dropped, by joins whose keys are spread over salts."""
     def keys(batches):
         for batch in batches:
             rows = [(i, k) for i, (s, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
@@ -118,12 +118,12 @@ def _with_keys(docs: DataFrame, bad: DataFrame, site_col: str, text_col: str, sa
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), pa.array([k for _, k in rows], pa.binary())], ["doc", "key"])
 
     whole = F.xxhash64(F.col(site_col).cast("string"), F.col(text_col)), F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    docs = docs.withColumn("_doc", F.concat_ws(":", *whole))  # equal texts of a site lose equal lines
-    lines = docs.select("_doc", F.col(site_col).cast("string"), F.col(text_col)).mapInArrow(keys, "doc string, key binary").distinct()
+    docs = docs.withColumn("__docspark_doc", F.concat_ws(":", *whole))  # equal texts of a site lose equal lines
+    lines = docs.select("__docspark_doc", F.col(site_col).cast("string"), F.col(text_col)).mapInArrow(keys, "doc string, key binary").distinct()
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)))
-    spread = bad.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"))
-    found = lines.join(spread, ["key", "salt"]).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("_bad"))
-    return docs.join(found, "_doc", "left").drop("_doc")
+    spread = bad.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    found = lines.join(spread, ["key", "salt"]).groupBy(F.col("doc").alias("__docspark_doc")).agg(F.collect_set("key").alias("__docspark_bad"))
+    return docs.join(found, "__docspark_doc", "left").drop("__docspark_doc")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
