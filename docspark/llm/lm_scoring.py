@@ -1,23 +1,20 @@
 """Scores by a hierarchical Pitman-Yor language model, trained here by Gibbs sampling.
 
-A token's class is itself if it is one of the ``classes`` most frequent words, else the class of all rarer words; the
-end of a text is a class, too. There is a restaurant for each context (the class before, or the start of a text);
-its dishes are classes, and all context restaurants share one parent, whose base is uniform. A rarer word is then a
-dish of one further restaurant over all rarer words, whose base is uniform over those words and one unseen word.
-Customers are seated from the counts of the whole training corpus; every sweep seats the customers of all cells
-anew given the rest (Chinese restaurant process; from the 17th customer of a dish on in blocks of a sixteenth of those
-seated), and predictive probabilities are averaged over the sweeps after the first ones.
-
-Counts are gathered from all training texts by partial counts and a shuffle. Words that make up more than a
-1/``lexicon`` share of all tokens, fewer than ``lexicon`` of them, are broadcast with their counts; the counts of the
-others are joined, none of which can be frequent. Words are told apart by 64 bits of a hash.
+There is a restaurant for each context: every word of the training texts, and the start of a text. Its dishes are all
+words and the end of a text. All context restaurants share one parent, whose base is uniform over the training words,
+the end and one unseen word; a context that training texts don't have backs off to the parent. Customers are seated
+from the counts of the whole training corpus; every sweep seats the customers of all cells (context, word) anew given
+the rest (Chinese restaurant process; from the 17th customer of a dish on in blocks of a sixteenth of those seated), and
+the seatings after the first sweeps are averaged. A cell of one customer has one table in every sweep.
+
+Cells are gathered from all texts by partial counts and a shuffle, are seated by partition and meet the sums of their
+context and word by joins. Draws hang on the cell and the sweep alone, so partitions don't change them. Cells that make
+up more than a 1/``lexicon`` share of all tokens, fewer than ``lexicon`` of them, are broadcast with their scores; those
+of the others are joined, none of which can be frequent. Words are told apart by 64 bits of a hash, and so are cells.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,29 +42,12 @@ def held_out(id_col: str) -> Column:
 
 # -- counts -----------------------------------------------------------------------------------------------------
 
-def _count_words(batches):
-    seen: tuple[Counter, Counter] = (Counter(), Counter())  # in training texts, in others
-
-    def out():
-        words = list(seen[0].keys() | seen[1].keys())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(map(word_hash, words)), pa.int64()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], ["h", "n", "other"])
-
-    for batch in batches:
-        for held, text in zip(batch.column(0), batch.column(1)):
-            seen[held.as_py()].update(words_of(text.as_py()))
-            if len(seen[0]) + len(seen[1]) > _FLUSH:
-                yield out()
-                for c in seen:
-                    c.clear()
-    yield out()
+#: The end of a text and, as a context, its start: no word has white space.
+END = word_hash(b" ")
 
 
-class Classes(dict):
-    """Class of each word met, by the hashes of the classes."""
-
-    def __init__(self, hashes: list[int]):
-        self.known, self.rare = {h: i for i, h in enumerate(hashes)}, len(hashes)
+class Hashes(dict):
+    """Hash of each word met."""
 
     def of(self, words: list[bytes]) -> np.ndarray:
         new = {w for w in set(words) if w not in self}
@@ -75,32 +55,78 @@ class Classes(dict):
             self.clear()
             new = set(words)
         for w in new:
-            self[w] = self.known.get(word_hash(w), self.rare)
+            self[w] = word_hash(w)
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _count_pairs(hashes: list[int]):
-    def run(batches):
-        classes, width = Classes(hashes), len(hashes) + 2
-        rare, end = width - 2, width - 1
-        cells = np.zeros(width * width, np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                texts = [words_of(t) for t in batch.column(0).slice(lo, 512).to_pylist()]
-                x = np.full(sum(len(t) + 1 for t in texts) + 1, end)  # as a context, the end is the start of a text
-                inside = np.ones(len(x), bool)
-                inside[0] = False
-                inside[np.cumsum([len(t) + 1 for t in texts])] = False
-                x[inside] = classes.of([w for t in texts for w in t])
-                cells += np.bincount(x[:-1] * width + x[1:], minlength=width * width)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cells[at], pa.int64())], ["cell", "n"])
+def cells_of(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word and place of the text, for all tokens and ends of the texts."""
+    words = [words_of(t) for t in texts]
+    size = np.array([len(t) + 1 for t in words], np.int64)
+    w, inside = np.full(size.sum(), END), np.ones(size.sum(), bool)
+    inside[np.cumsum(size) - 1] = False
+    w[inside] = hashes.of([x for t in words for x in t])
+    return np.concatenate([[END], w[:-1]]), w, np.repeat(np.arange(len(texts)), size)
+
+
+def cell_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = u.view(np.uint64)
+    return ((x << np.uint64(1)) | (x >> np.uint64(63))).view(np.int64) ^ w
+
 
-    return run
+def _cell_key(u: Column, w: Column) -> Column:
+    return F.shiftleft(u, 1).bitwiseXOR(F.shiftrightunsigned(u, 63)).bitwiseXOR(w)
+
+
+def _count_cells(batches):
+    hashes = Hashes()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            u, w, doc = cells_of(part.column(1).to_pylist(), hashes)
+            held = part.column(0).to_numpy(zero_copy_only=False).astype(bool)[doc]
+            _, first, at = np.unique(cell_key(u, w), return_index=True, return_inverse=True)
+            n, other = (np.bincount(at, x, len(first)).astype(np.int64) for x in (~held, held))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[first], w[first], n, other)], ["u", "w", "n", "other"])
 
 
 # -- model ------------------------------------------------------------------------------------------------------
 
+class Keyed:
+    """Binomial draws that hang on a row's key, the sweep and the customer alone."""
+
+    def __init__(self, keys: np.ndarray, sweep: int):
+        self.keys, self.sweep = keys.view(np.uint64), sweep
+
+    def draw(self, live: np.ndarray, n: int, here: np.ndarray, p: np.ndarray) -> np.ndarray:
+        x = self.keys[live] + np.uint64((0x9E3779B97F4A7C15 * (n * 64 + self.sweep + 1)) % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # splitmix64
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        draw = (x >> np.uint64(11)) / float(1 << 53)
+        got = (draw < p).astype(np.int64)
+        many = np.flatnonzero(here > 1)
+        if len(many):
+            h, q = here[many].astype(np.float64), p[many]
+            big = h * np.minimum(q, 1 - q) > 50
+            left, k = np.flatnonzero(~big), 0
+            flip = q > 0.5  # by the inverse of the distribution, of the rarer outcome
+            r = np.where(flip, 1 - q, q)
+            pmf = np.exp(h * np.log1p(-r))
+            cdf, out = pmf.copy(), np.zeros(len(many))
+            while len(left):
+                left = left[(draw[many][left] >= cdf[left]) & (k < h[left])]
+                k += 1
+                pmf[left] *= (h[left] - k + 1) / k * r[left] / (1 - r[left])
+                cdf[left] += pmf[left]
+                out[left] = k
+            out = np.where(flip, h - out, out)
+            for i in np.flatnonzero(big):
+                out[i] = np.random.default_rng(int(x[many[i]])).binomial(int(h[i]), q[i])
+            got[many] = out.astype(np.int64)
+        return got
+
+
 def seat(c: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: float, rng) -> np.ndarray:
     """Tables of each dish after its c customers are seated one after the other. base: the parent's probability of the
     dish; strength: concentration and discount times the tables of the whole restaurant."""
@@ -111,7 +137,8 @@ def seat(c: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: float,
         step = max(1, n // 16)
         here = np.minimum(step, c[live] - n)
         p = new[live] / (new[live] + np.maximum(n - discount * t[live], 1e-9))
-        t[live] += rng.binomial(here.astype(np.int64), np.clip(p, 0, 1))
+        p, here = np.clip(p, 0, 1), here.astype(np.int64)
+        t[live] += rng.draw(live, n, here, p) if isinstance(rng, Keyed) else rng.binomial(here, p)
         n += step
         live = live[c[live] > n]
     return np.minimum(t, c)
@@ -169,121 +196,109 @@ class WordModel:
         return np.log10((np.maximum(c - self.discount * np.where(c > 0, t, 0), 0) + self.new * self.base) / self.size)
 
 
-def _bin(n: Column) -> Column:
-    """Counts as they are up to 1,000, above in steps of about two in a hundred."""
-    return F.when(n <= 1_000, n.cast("double")).otherwise(F.exp(F.round(F.log(n) * 50) / 50))
+def fit(cells: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, concentration=5.0, warm=2, sweeps=4) -> tuple[DataFrame, DataFrame]:
+    """The model of ``ContextModel`` over all cells. cells: u, w, n, other; vocabulary: h, n, u1, w1 (cells of one
+    customer that have h as context, as word). Returns the cells with ``t``, and h, n, tables and root: means over the
+    sweeps. A word's tables and root are those of its context and of its dish."""
+    again = cells.where("n > 1").select("*", F.lit(1.0).alias("t"), F.lit(0.0).alias("t_sum"))
+    words = vocabulary.select("h", "n", "u1", "w1", F.lit(0.0).alias("tables_sum"), F.lit(0.0).alias("root_sum"))
+    root_tables = None
+
+    def sums():
+        t = again.select(F.col("w").alias("h"), F.col("t").alias("k"), F.lit(0.0).alias("s")).unionByName(again.select(F.col("u").alias("h"), F.lit(0.0).alias("k"), F.col("t").alias("s")))
+        t = t.groupBy("h").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))
+        return words.join(t, "h", "left").withColumns({"k": F.col("w1") + F.coalesce("k", F.lit(0.0)), "s": F.col("u1") + F.coalesce("s", F.lit(0.0))})
+
+    def reseat(of, key, out, sweep):
+        def run(batches):
+            for batch in batches:
+                x = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in batch.schema.names}
+                c, base, strength = of(x)
+                t = seat(c, base, strength, discount, Keyed(np.ascontiguousarray(key(x)), sweep))
+                yield pa.RecordBatch.from_arrays([pa.array(t) if f == out else batch.column(f) for f in batch.schema.names], batch.schema.names)
+
+        return run
+
+    def kind(df):
+        return ", ".join(f"{c} {k}" for c, k in df.dtypes)
+
+    for sweep in range(warm + sweeps):
+        averaged = F.lit(float(sweep > warm))
+        now = sums().withColumns({"tables_sum": F.col("tables_sum") + averaged * F.col("s"), "t": F.lit(0.0)})
+        if root_tables is None:
+            root_tables = float(now.agg(F.count_if(F.col("k") > 0)).first()[0])
+        strength = concentration + discount * root_tables
+        now = materialise(now.mapInArrow(
+            reseat(lambda x, s=strength: (x["k"], np.full(len(x["k"]), 1 / (types + 1)), np.full(len(x["k"]), s)), lambda x: x["h"], "t", sweep), kind(now)), "root")
+        root_tables, customers = (x or 0.0 for x in now.agg(F.sum("t"), F.sum("k")).first())
+        root = (F.greatest(F.col("k") - discount * F.col("t"), F.lit(0.0)) + (concentration + discount * root_tables) / (types + 1)) / (concentration + customers)
+        now = now.withColumn("root", root)
+        c = again.join(now.select(F.col("h").alias("w"), "root"), "w").join(now.select(F.col("h").alias("u"), "s"), "u")
+        c = c.mapInArrow(reseat(lambda x: (x["n"].astype(float), x["root"], concentration + discount * x["s"]), lambda x: cell_key(x["u"], x["w"]), "t", sweep), kind(c))
+        again = materialise(c.select("u", "w", "n", "other", "t", (F.col("t_sum") + F.lit(float(sweep >= warm)) * F.col("t")).alias("t_sum")), "seated")
+        words = now.select("h", "n", "u1", "w1", "tables_sum", (F.col("root_sum") + F.lit(float(sweep >= warm)) * F.col("root")).alias("root_sum"))
+    words = sums().select("h", "n", ((F.col("tables_sum") + F.col("s")) / sweeps).alias("tables"), (F.col("root_sum") / sweeps).alias("root"))
+    cells = cells.where("n <= 1").select("*", F.col("n").cast("double").alias("t")).unionByName(again.select("u", "w", "n", "other", (F.col("t_sum") / sweeps).alias("t")))
+    return cells, materialise(words, "words")
 
 
 # -- scoring ----------------------------------------------------------------------------------------------------
 
-class Words(dict):
-    """Place of each word met in the lexicon, or beyond it the places of rare words' hashes."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes, self.rare = hashes, []
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        new = {w for w in set(words) if w not in self}
-        if len(self) + len(new) > _FLUSH:
-            self.clear()
-            self.rare, new = [], set(words)
-        new = list(new)
-        h = np.fromiter(map(word_hash, new), np.int64, len(new))
-        size = len(self.hashes)
-        at = np.minimum(np.searchsorted(self.hashes, h), max(0, size - 1))
-        hit = self.hashes[at] == h if size else np.zeros(len(h), bool)
-        beyond = np.flatnonzero(~hit)
-        at[beyond] = size + len(self.rare) + np.arange(len(beyond))
-        self.rare += h[beyond].tolist()
-        self.update(zip(new, at.tolist()))
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 510, lexicon: int = 1 << 20) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     A null or empty text has one token, its end. Repeated rows are learned from and scored each; other columns are not
-    read. Without training texts the base gives every token the same probability, and so does the model.
+    read. Without training texts the base gives every token the same probability, and so does the model. ``classes`` has
+    no effect: all words are contexts and dishes.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    discount, concentration = 0.7, 5.0
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), whole_text(text_col).cast("binary").alias("t"))
-    counts = rows.select("held", "t").mapInArrow(_count_words, "h long, n long, other long")
-    counts = materialise(counts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("other").alias("other")), "word-counts")
-    train = rows.where(~F.col("held")).select("t")
-    ends = train.count()
-    tokens, types, every = counts.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum(F.col("n") + F.col("other"))).first()
-    n_all, v = (tokens or 0) + ends, (types or 0) + (ends > 0)
-
-    top = [r.h for r in counts.where("n > 0").orderBy(F.desc("n"), "h").limit(classes).collect()]
-    width = len(top) + 2
-    rare, end = width - 2, width - 1
-    pairs = train.mapInArrow(_count_pairs(top), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # width * width at most
-    cells = np.zeros(width * width, np.int64)
-    for cell, n in pairs:
-        cells[cell] = n
-    contexts = ContextModel(cells.reshape(width, width)).log
-    others = counts.where((F.col("n") > 0) & ~F.col("h").isin(top)) if top else counts.limit(0)
-    words = WordModel({r.c: r.m for r in others.groupBy(_bin(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("m")).collect()})
-
-    often = ((F.col("n") + F.col("other")) * lexicon > (every or 0)) | F.col("h").isin(top or [0])
-    frequent = counts.where(often).select("h", "n").toPandas().sort_values("h")  # fewer than lexicon + classes
-    hashes, n = frequent["h"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
-    at_class = {h: i for i, h in enumerate(top)}
-    of = np.fromiter(map(at_class.get, hashes.tolist(), repeat(rare)), np.int64, len(hashes))
-    base = lambda c: np.log10((c + 1) / (n_all + v + 1))
-    known = spark.sparkContext.broadcast((hashes, n, of, contexts))
+    cells = rows.select("held", "t").mapInArrow(_count_cells, "u long, w long, n long, other long")
+    cells = materialise(cells.groupBy("u", "w").agg(F.sum("n").alias("n"), F.sum("other").alias("other")), "cells")
+    one = F.when(F.col("n") == 1, 1).otherwise(0)
+    none = F.lit(0).cast("long")
+    vocabulary = cells.select(F.col("w").alias("h"), "n", "other", none.alias("u1"), one.cast("long").alias("w1")).unionByName(
+        cells.where("n = 1").select(F.col("u").alias("h"), none.alias("n"), none.alias("other"), F.lit(1).cast("long").alias("u1"), none.alias("w1")))
+    vocabulary = materialise(vocabulary.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", "other", "u1", "w1"))), "vocabulary")
+    n_all, v, every = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum(F.col("n") + F.col("other"))).first())
+    cells, words = fit(cells, vocabulary, v, discount, concentration)
+
+    # own and back: of the context's mass what the cell has and what goes to the parent
+    by_u = words.select(F.col("h").alias("u"), (concentration + F.col("n")).alias("size"), (concentration + discount * F.col("tables")).alias("new"))
+    by_w = words.select(F.col("h").alias("w"), F.col("n").alias("c"), "root")
+    found = cells.join(by_u, "u").select(
+        _cell_key(F.col("u"), F.col("w")).alias("h"), "w", (F.col("n") + F.col("other")).alias("m"),
+        ((F.col("n") - discount * F.col("t")) / F.col("size")).alias("own"), (F.col("new") / F.col("size")).alias("back")).join(by_w, "w")
+    found = materialise(found.select(
+        "h", "m", F.log10(F.col("own") + F.col("back") * F.col("root")).alias("s"), F.log10((F.col("c") + 1) / F.lit(float(n_all + v + 1))).alias("b"),
+        F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("k")), "cell-scores")
+
+    frequent = found.where(F.col("m") * lexicon > every).select("h", "s", "b", "k").toPandas().sort_values("h")  # fewer than lexicon
+    known = spark.sparkContext.broadcast(tuple(frequent[c].to_numpy() for c in ("h", "s", "b", "k")))
 
     def run(batches):
         from pyspark import TaskContext
 
-        hashes, n, of, contexts = known.value
-        table_, key = Words(hashes), TaskContext.get().partitionId() << 40
-        lex = len(hashes)
-        lex_base, lex_word = base(n), np.where(of == rare, words.log(n.astype(float)), 0.0)
+        hashes, (h, *scores), key = Hashes(), known.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = [words_of(t) for t in part.column(2).to_pylist()]
-                size = np.array([len(t) for t in texts], np.int64)
-                flat = [w for t in texts for w in t]
-                at = table_.places(flat)
-                doc = np.repeat(np.arange(len(texts)), size)
-                inside = at < lex
-                a = np.where(inside, at, 0)
-                cls = np.where(inside, of[a], rare) if lex else np.full(len(at), rare)
-                total = lambda x: np.bincount(doc, x, len(texts))
-                first = np.cumsum(size) - size
-                before = np.empty(len(at), np.int64)
-                before[1:] = cls[:-1]
-                before[first[size > 0]] = end
-                last = np.full(len(texts), end)
-                last[size > 0] = cls[(first + size - 1)[size > 0]]
-                score = total(contexts[before, cls].astype(float)) + contexts[last, end]
-                b = np.full(len(texts), float(base(np.float64(ends))))
-                k = np.full(len(texts), int(ends > 0))
-                if lex:
-                    b += total(np.where(inside, lex_base[a], 0.0))
-                    score += total(np.where(inside, lex_word[a], 0.0))
-                    k = k + total(inside & (n[a] > 0)).astype(np.int64)
-                out = np.array(table_.rare, np.int64)[at[~inside] - lex] if (~inside).any() else np.empty(0, np.int64)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[~inside], minlength=len(texts)))]).astype(np.int32)
+                u, w, doc = cells_of(part.column(2).to_pylist(), hashes)
+                cell, texts = cell_key(u, w), part.num_rows
+                at = np.minimum(np.searchsorted(h, cell), max(0, len(h) - 1))
+                inside = h[at] == cell if len(h) else np.zeros(len(cell), bool)
+                s, b, k = (np.bincount(doc[inside], x[at[inside]], texts).astype(float) for x in scores)  # of nothing, bincount gives integers
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[~inside], minlength=texts))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key + np.arange(len(texts))), part.column(0), part.column(1), pa.array(size + 1), pa.array(k), pa.array(b), pa.array(score),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))],
+                    [pa.array(key + np.arange(texts)), part.column(0), part.column(1), pa.array(np.bincount(doc, minlength=texts)), pa.array(k.astype(np.int64)), pa.array(b), pa.array(s),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell[~inside]))],
                     ["row", "id", "held", "n_tokens", "k", "b", "s", "rare"])
-                key += len(texts)
+                key += texts
 
     scored = materialise(rows.mapInArrow(run, f"row long, id {kind}, held boolean, n_tokens long, k long, b double, s double, rare array<bigint>"), "scored")
-    rest = scored.select("row", F.explode("rare").alias("h")).join(counts.select("h", F.col("n").alias("c")), "h", "left")
-    rest = rest.groupBy("row", F.coalesce("c", F.lit(0)).alias("c")).agg(F.count(F.lit(1)).alias("m"))
-
-    def word_scores(batches):
-        for batch in batches:
-            c = batch.column("c").to_numpy().astype(float)
-            m = batch.column("m").to_numpy().astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.where(c > 0, m, 0).astype(np.int64)), pa.array(m * base(c)), pa.array(m * words.log(c))], ["row", "k2", "b2", "s2"])
-
-    rest = rest.mapInArrow(word_scores, "row long, k2 long, b2 double, s2 double").groupBy("row").agg(F.sum("k2").alias("k2"), F.sum("b2").alias("b2"), F.sum("s2").alias("s2"))
+    rest = scored.select("row", F.explode("rare").alias("h")).join(found.where(F.col("m") * lexicon <= every).drop("m"), "h")
+    rest = rest.groupBy("row").agg(F.sum("k").alias("k2"), F.sum("b").alias("b2"), F.sum("s").alias("s2"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     done = scored.drop("rare").join(rest, "row", "left")
     return done.select(

@@ -46,3 +46,24 @@ def test_awkward(spark):
     assert len(got) == len(ROWS) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
     assert lm.lm_score(empty(spark)).count() == 0
+
+
+def test_all_words_are_contexts(spark):
+    """Words far beyond the most frequent 510 follow each other in pairs; the model over the whole matrix is the oracle."""
+    pairs = [(f"a{i}", f"b{i}") for i in range(800)]
+    texts = [" ".join(w for p in pairs[k % 4 :: 4] for w in p) for k in range(40)]
+    texts += ["a1 b1", "b1 a1", "a1 b2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    extra = [(i, t) for i in range(1000, 1060) if zlib.crc32(str(i).encode()) % 7 == 2 for t in ("a5 b5", "a5 b6", "zz b5", "a5 zz")]
+    df = df.union(spark.createDataFrame(extra, df.schema))
+    got = lm.lm_score(df).collect()
+    train = [t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    at = {w: i for i, w in enumerate(sorted({w for t in train for w in t}), 1)}  # 0: start and end; the last: unseen
+    counts = np.zeros((len(at) + 2,) * 2, np.int64)
+    place = lambda t: [0, *(at.get(w, len(at) + 1) for w in t), 0]
+    for t in train:
+        np.add.at(counts, (place(t)[:-1], place(t)[1:]), 1)
+    logs = [lm.ContextModel(counts, seed=seed).log for seed in range(4)]
+    cells = [(place(t.split())[:-1], place(t.split())[1:]) for t in [*texts, *(t for _, t in extra)]]
+    want = np.mean([sorted(float(log[c].sum()) for c in cells) for log in logs], axis=0)
+    assert sorted(r.score for r in got) == pytest.approx(want, rel=0.01, abs=0.2)  # seeds of the oracle differ by up to 0.18
