@@ -8,6 +8,8 @@ outweighs its trust is blocked. Edges are summed for each pair of hosts before a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,11 @@ def _attach(pages: DataFrame, hosts: DataFrame, total: int) -> DataFrame:
     return pages.join(hot, "host").unionByName(pages.join(hot.select("host"), "host", "left_anti").join(cold, "host"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, close: float = 1e-9) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, close: float = 1e-9) -> DataFrame:
     """host, trust, distrust. edges: src, dst, w, one row per pair; seeds: host, trust, distrust, each summing to one
-    (or to zero). Mass of hosts without links goes back to the seeds. Ends when a round moves less than ``close``."""
+    (or to zero). Mass of hosts without links goes back to the seeds. Ends when a round moves less than ``close``,
+    or after ``rounds`` if given. A round moves at most ``damping`` times what the one before moved, the first at most 4,
+    so the number of rounds that close takes is known; it is an error if they don't suffice."""
     out = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
     into = edges.groupBy("dst").agg(F.sum("w").alias("in_w"))
     edges = materialise(edges.join(out, "src").join(into, "dst"), "edges")
@@ -61,7 +65,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         .select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"), F.col("out_w").isNull().alias("no_out"), F.col("in_w").isNull().alias("no_in")),
         "hosts")
     ranks = has.withColumns({"trust": F.col("t0"), "distrust": F.col("d0")})
-    for _ in range(rounds):
+    most = rounds if rounds is not None else math.ceil(math.log(close / 4) / math.log(damping)) + 2
+    for _ in range(most):
         lost = ranks.agg(F.sum(F.when(F.col("no_out"), F.col("trust"))), F.sum(F.when(F.col("no_in"), F.col("distrust")))).first()
         lost_t, lost_d = (x or 0.0 for x in lost)
         ahead = edges.join(ranks.select(F.col("host").alias("src"), "trust"), "src").select(
@@ -76,6 +81,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         ranks = after.select("host", "t0", "d0", "no_out", "no_in", F.col("t1").alias("trust"), F.col("d1").alias("distrust"))
         if moved < close:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks still move by {moved} after {most} rounds")
     return ranks.select("host", "trust", "distrust")
 
 
@@ -108,7 +116,7 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     sums = nodes.agg(F.sum("trust"), F.sum("distrust"), F.count(F.lit(1))).first()
     even = 1.0 / max(1, sums[2])
     seeds = nodes.select("host", (F.col("trust") / (sums[0] or 1.0)).alias("trust"), (F.col("distrust") / (sums[1] or 1.0)).alias("distrust"))
-    ranks = propagate(edges, seeds)
+    ranks = propagate(edges, seeds, close=max(1e-12, 1e-3 * least_share * even))  # what is still to come moves no host by 1 % of the least share
     bad = (F.col("distrust") >= least_share * even) & (F.col("distrust") > spam_mass * (F.col("trust") + F.col("distrust"))) & (F.col("host") != "")
     verdicts = nodes.select("host", "n").join(ranks.select("host", F.when(bad, "block").otherwise("allow").alias("of_host")), "host")
     return _attach(p, verdicts, total).select(

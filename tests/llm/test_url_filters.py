@@ -62,3 +62,11 @@ def test_repeated_and_empty(spark):
     df = spark.createDataFrame([(1, "http://x.net/", None)] * 3 + [(None, None, None)], "page_id long, url string, html string")
     assert uf.url_filter(df).count() == 4
     assert uf.url_filter(df.limit(0)).count() == 0
+
+
+def test_long_chain_is_followed_to_its_end(spark):
+    """h23 -> ... -> h1 -> a blocked host: h23 is further from it than 20 rounds reach."""
+    rows = [(0, "http://h0.net/a", "")] + [(i, f"http://h{i}.com/a", f'<a href="http://h{i - 1}.{"net" if i == 1 else "com"}/">') for i in range(1, 24)]
+    rows += [(100 + i, f"http://alone{i}.com/a", None) for i in range(30)]
+    got = judge(spark, rows)
+    assert {got[i].verdict for i in range(24)} == {"block"} and {got[100 + i].verdict for i in range(30)} == {"allow"}
