@@ -119,7 +119,7 @@ def _write(folder: str, name: str, content: bytes) -> None:
 
 
 def choose_responses(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """page, digest key and the id of the response, for pages that revisit another. Payloads are equal if SHA-256 and
+    """page, digest, size and the id of the response, for pages that revisit another. Payloads are equal if SHA-256 and
     size agree. Groups are reduced within salts first and then joined salt by salt, so no task gets a whole group."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page"), payload.alias("p"))
@@ -129,7 +129,7 @@ def choose_responses(pages: DataFrame, id_col: str, html_col: str, least_bytes:
     part = materialise(part, "payload-parts")
     top = part.groupBy("digest", "size").agg(F.max("m").alias("response"), F.sum("n").alias("n")).where("n > 1").drop("n")
     part = part.select("digest", "size", "salt").join(top, ["digest", "size"])
-    return rows.join(part, ["digest", "size", "salt"]).where("page < response").select("page", "response")
+    return rows.join(part, ["digest", "size", "salt"]).where("page < response").select("page", "digest", "size", "response")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -138,7 +138,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes pages as archives into folder and returns one row per file: path, n_records.
 
     Of pages with equal payloads of at least least_bytes bytes, the one with the largest id is the response and the
-    others revisit it; pages whose id is null or repeated with the same payload are responses each. A null html is an
+    others revisit it; pages whose id is null or repeated with the same payload are responses each. A repeated id may have
+    several payloads, of which each is looked up by itself. A null html is an
     empty payload, a null url leaves the target out. The dictionary is built from ``sample_records`` records at most, each cut so
     that all take ``sample_bytes`` bytes. An empty table gives no files.
     """
@@ -151,7 +152,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     words = spark.sparkContext.broadcast(dictionary(few, dictionary_bytes) if few else b"")
     revisits = choose_responses(pages, id_col, html_col, least_bytes)
     revisits = materialise(revisits.distinct(), "revisits")
-    p = p.join(revisits, "page", "left")
+    p = p.withColumns({"digest": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")}).join(revisits, ["page", "digest", "size"], "left")
+    p = p.select("page", "url", "payload", "response")
 
     def write(batches):
         from pyspark import TaskContext

@@ -53,3 +53,15 @@ def test_empty(spark):
 def test_damaged_record():
     with pytest.raises(ValueError):
         warc.read_record(warc.make_record(1, "u", b"abc").replace(b"abc", b"abd"))
+
+
+@pytest.mark.parametrize("pages", [[(5, "A"), (9, "A"), (5, "B")], [(5, "A"), (5, "C"), (9, "A"), (8, "C")]])
+def test_repeated_id_with_other_payloads(spark, pages):
+    df = spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in pages], "page_id long, url string, html string")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    rows = warc.read_archives(spark, warc.write_archives(df, folder), folder, with_payload=True).collect()
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    assert sorted((r.page_id, r.payload_digest) for r in rows) == sorted((i, digest(h)) for i, h in pages)
+    best = {h: max(i for i, x in pages if x == h) for _, h in pages}
+    assert {bytes(r.payload).decode() for r in rows if r.record_type == "response"} == {h for _, h in pages}
+    assert all(r.refers_to == (best[h] if best[h] != i else None) for i, h in pages for r in rows if (r.page_id, r.payload_digest) == (i, digest(h)))
