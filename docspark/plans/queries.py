@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions import dates, fonts as font_names, geometry, numbers, provenance, text
-from docspark.operators import detectors, equations, fonts, fusion, invoices, layout, ocr, spatial, versions
+from docspark.operators import detectors, equations, fonts, fusion, invoices, layout, matching, ocr, spatial, versions
 from docspark.sources.scans import sniff_html, table
 
 QUERIES: dict = {}
@@ -413,6 +413,25 @@ def geo_containment(spark, d):
     return found.select("a_vec_id", "b_vec_id")
 
 
+# -- matching -----------------------------------------------------------------------------------------------------
+
+@query()
+def ocr_match(spark, d):
+    """Words of the benchmark's items, set in lines of ten, against boxes of their tokens that are moved and misread by rule."""
+    words = table(spark, d, "benchmark").select("item_id", F.posexplode(text.tokens("text")).alias("pos", "text"))
+    x, y, move = F.col("pos") % 10 * 60.0, F.floor(F.col("pos") / 10) * 20.0, F.when(F.col("pos") % 7 == 0, 45.0).otherwise(F.when(F.col("pos") % 5 == 0, 25.0).otherwise(2.0))
+    at = lambda by: [(x + by).alias("x0"), y.alias("y0"), (x + by + 50).alias("x1"), (y + 15).alias("y1")]
+    seen = F.when(F.col("pos") % 11 == 0, F.reverse("text")).otherwise(F.upper("text"))
+    boxes = words.where("pos % 13 <> 0").select("item_id", "pos", seen.alias("text"), *at(move))
+    return matching.classify(matching.match_words(words.select("item_id", "pos", "text", *at(F.lit(0.0))), boxes, ["item_id"]))
+
+
+@query()
+def ocr_token_bag(spark, d):
+    rows = table(spark, d, "benchmark").withColumn("turned", F.array_join(F.reverse(text.tokens("text")), " "))
+    return rows.select("item_id", matching.same_bag(F.col("text"), F.col("turned")).alias("same_bag"))
+
+
 # -- versions -----------------------------------------------------------------------------------------------------
 
 _PAIRS = "SELECT conv_id, turn, text AS after, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations"
