@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where none is set (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where that is unset, a folder of
+    this machine will do only if everything runs on it, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "docspark-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +34,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     executors cost no recomputation of what came before."""
     path = f"{shared_dir(df.sparkSession)}/docspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._docspark_path = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() made, once all that was made of them is itself written."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._docspark_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_text(text: str | Column) -> Column:
