@@ -235,6 +235,8 @@ def components(lists: DataFrame, percent: int, few: int = FEW, pieces: int = FRA
     apart = each.groupBy("h", "j").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1 AND m > 2")
     apart = apart.select("h", "j", (F.col("m") * F.col("m") - F.col("s") <= 2 * few * F.col("m")).alias("direct"))
     now = materialise(now.join(apart, ["h", "j"]), "lists-apart")
+    if not now.head(1):
+        return label
     direct = now.where("direct")
     other = direct.select("h", "j", *[F.col(k).alias(f"{k}_") for k in ("node", "c", "n")])
     pairs = direct.join(other, ["h", "j"]).where((F.col("c") < F.col("c_")) & _fit("n", "n_", percent)).select(*_ordered("node", "node_")).distinct()
