@@ -52,14 +52,24 @@ def whole_text(text: str | Column) -> Column:
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of df starts with, in any case."""
+    taken, found = [c.lower() for c in df.columns], f"__docspark_{name}"
+    while any(c.startswith(found) for c in taken):
+        found = "_" + found
+    return found
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, most: int = 500_000) -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, most_bytes: int = 16 << 20) -> DataFrame:
     """docs, with its columns, without the rows that gone names by ``id`` and ``h``, the xxhash64 of the text. The list
-    is broadcast only if it is short, as counted; else it is joined by a shuffle."""
-    gone = materialise(gone.select(F.col("id").alias("_gone"), F.col("h").alias("_hash")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= most else gone
-    same = docs[id_col].eqNullSafe(gone["_gone"]) & (F.xxhash64(whole_text(docs[text_col])) == gone["_hash"])
+    is broadcast only if its ids and hashes take at most ``most_bytes``, as summed up; else it is joined by a shuffle."""
+    own_id, own_h = fresh(docs, "gone"), fresh(docs, "hash")
+    gone = materialise(gone.select(F.col("id").alias(own_id), F.col("h").alias(own_h)).distinct(), "gone")
+    taken = gone.agg(F.sum(F.coalesce(F.octet_length(F.col(own_id).cast("string")), F.lit(0)) + 32)).first()[0] or 0
+    gone = F.broadcast(gone) if taken <= most_bytes else gone
+    same = docs[id_col].eqNullSafe(gone[own_id]) & (F.xxhash64(whole_text(text_col)) == gone[own_h])
     return docs.join(gone, same, "left_anti")

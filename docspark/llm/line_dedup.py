@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, table
+from .common import SPACE, fresh, materialise, table
 
 _FLUSH = 200_000
 _SPACES = re.compile(SPACE)
@@ -50,54 +50,61 @@ def _count(batches):
 
 def boilerplate(docs: DataFrame, site_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
     """site, key, n of the lines to drop."""
-    site = F.col(site_col).cast("string")
+    site = F.col(f"`{site_col}`").cast("string")
     totals = docs.groupBy(site.alias("site")).agg(F.count(F.lit(1)).alias("pages"))
     # the site is part of the key, so it needs no place in the grouping; its total is looked up for candidates only
-    lines = docs.select(site.alias("site"), F.col(text_col)).mapInArrow(_count, "site string, key binary, n long")
+    lines = docs.select(site.alias("site"), F.col(f"`{text_col}`")).mapInArrow(_count, "site string, key binary, n long")
     lines = lines.groupBy("key").agg(F.sum("n").alias("n"), F.first("site").alias("site")).where(F.col("n") >= min_pages)
     lines = materialise(lines, "frequent-lines")
     return lines.join(totals, lines["site"].eqNullSafe(totals["site"])).where(F.col("n") > ratio * F.col("pages")).select(lines["site"], "key", "n")
 
 
 def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = 0.02, min_pages: int = 5,
-                     broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """docs with its columns, the text without its boilerplate lines, and the long columns _n_lines and _n_dropped.
+                     broadcast_bytes: int = 32 << 20, counts: tuple[str, str] | None = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """docs with its columns, the text without its boilerplate lines, and the long columns that ``counts`` names (of a
+    text's lines and of those dropped; None: neither). It is an error if docs has columns of these names.
 
     Lines are compared with white space collapsed and trimmed; blank lines are never boilerplate. Null and empty texts
-    stay as they are (null counts as a page without lines). A null site is a site of its own. Row order, ids and other
-    columns play no part, and repeated rows count as pages each. The keys to drop are broadcast if they take at most
-    ``broadcast_bytes``, as counted; beyond that they are joined, spread over salts.
+    stay as they are (null counts as a page without lines). A site may be of any type that Spark casts to a string; a null
+    site is a site of its own. Row order, ids and other columns play no part, and repeated rows count as pages each. An
+    empty table gives an empty result. The keys to drop are broadcast if they take at most ``broadcast_bytes`` in Python,
+    as counted; beyond that they are joined, spread over salts.
     """
     spark, columns = docs.sparkSession, docs.columns
+    if counts and set(counts) & set(columns):
+        raise ValueError(f"docs has columns {counts}; name others by counts")
+    names = list(counts or ())
     bad = materialise(boilerplate(docs, site_col, text_col, ratio, min_pages), "boilerplate")
     count = bad.count()
-    if count * 64 <= broadcast_bytes:
+    if count * 128 <= broadcast_bytes:
         sent = spark.sparkContext.broadcast(frozenset(bytes(r.key) for r in bad.select("key").collect()))
 
         def clean(site, text, keys):
             return _clean(site, text, sent.value)
 
-        rows = docs.withColumn("__docspark_bad", F.lit(None).cast("array<binary>"))
+        own = fresh(docs, "bad")
+        rows = docs.withColumn(own, F.lit(None).cast("array<binary>"))
     else:
-        rows = _with_keys(docs, bad, site_col, text_col)
+        rows, own = _with_keys(docs, bad, site_col, text_col)
 
         def clean(site, text, keys):
             return _clean(site, text, frozenset(keys or ()))
 
     fields = {f.name: f for f in docs.schema.fields}
-    at_site, at_text = columns.index(site_col), columns.index(text_col)
+    at_text, width = columns.index(text_col), len(columns)
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [clean(None if s is None else str(s), t, k) for s, t, k in zip(part.column(at_site).to_pylist(), part.column(at_text).to_pylist(), part.column(len(columns)).to_pylist())]
-                arrays = [pa.array([x[0] for x in found], part.column(i).type) if i == at_text else part.column(i) for i in range(len(columns))]
-                arrays += [pa.array([x[j] for x in found], pa.int64()) for j in (1, 2)]
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, "_n_lines", "_n_dropped"])
+                found = [clean(*x) for x in zip(part.column(width).to_pylist(), part.column(at_text).to_pylist(), part.column(width + 1).to_pylist())]
+                arrays = [pa.array([x[0] for x in found], part.column(i).type) if i == at_text else part.column(i) for i in range(width)]
+                arrays += [pa.array([x[j + 1] for x in found], pa.int64()) for j in range(len(names))]
+                yield pa.RecordBatch.from_arrays(arrays, [*columns, *names])
 
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in columns) + ", _n_lines long, _n_dropped long"
-    return rows.select(*[F.col(f"`{c}`") for c in columns], "__docspark_bad").mapInArrow(run, schema)
+    schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in columns] + [f"`{c}` long" for c in names])
+    site = F.col(f"`{site_col}`").cast("string").alias(fresh(docs, "site"))  # as counted: Spark's own way to write it
+    return rows.select(*[F.col(f"`{c}`") for c in columns], site, own).mapInArrow(run, schema)
 
 
 def _clean(site, text, keys):
@@ -108,8 +115,9 @@ def _clean(site, text, keys):
     return ("\n".join(kept) if len(kept) < len(lines) else text), len(lines), len(lines) - len(kept)
 
 
-def _with_keys(docs: DataFrame, bad: DataFrame, site_col: str, text_col: str, salts: int = 32) -> DataFrame:
-    """docs with __docspark_bad, the keys of its own lines that are to be dropped, by joins whose keys are spread over salts."""
+def _with_keys(docs: DataFrame, bad: DataFrame, site_col: str, text_col: str, salts: int = 32) -> tuple[DataFrame, str]:
+    """docs with the keys of its own lines that are to be dropped, by joins whose keys are spread over salts, and the name of
+    that column. A page is known by site, text and one of ``salts`` numbers, so pages that repeat a text don't meet in one task."""
     def keys(batches):
         for batch in batches:
             rows = [(i, k) for i, (s, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
@@ -117,13 +125,15 @@ def _with_keys(docs: DataFrame, bad: DataFrame, site_col: str, text_col: str, sa
             pick = pa.array([i for i, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), pa.array([k for _, k in rows], pa.binary())], ["doc", "key"])
 
-    whole = F.xxhash64(F.col(site_col).cast("string"), F.col(text_col)), F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    docs = docs.withColumn("__docspark_doc", F.concat_ws(":", *whole))  # equal texts of a site lose equal lines
-    lines = docs.select("__docspark_doc", F.col(site_col).cast("string"), F.col(text_col)).mapInArrow(keys, "doc string, key binary").distinct()
+    doc, own = fresh(docs, "doc"), fresh(docs, "bad")
+    site, text = F.col(f"`{site_col}`").cast("string"), F.col(f"`{text_col}`")
+    number = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(salts)).cast("string")
+    docs = docs.withColumn(doc, F.concat_ws(":", F.xxhash64(site, text), F.md5(F.coalesce(text, F.lit(""))), number))  # equal texts of a site lose equal lines
+    lines = docs.select(doc, site, text).mapInArrow(keys, "doc string, key binary").distinct()
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)))
     spread = bad.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    found = lines.join(spread, ["key", "salt"]).groupBy(F.col("doc").alias("__docspark_doc")).agg(F.collect_set("key").alias("__docspark_bad"))
-    return docs.join(found, "__docspark_doc", "left").drop("__docspark_doc")
+    found = lines.join(spread, ["key", "salt"]).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("key").alias(own))
+    return docs.join(found, doc, "left").drop(doc), own
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

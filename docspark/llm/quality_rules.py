@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, whole_text
+from .common import SPACE, fresh, table, whole_text
 
 #: Frequent function words of four languages.
 STOP_WORDS = sorted({
@@ -58,44 +58,48 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return places, packed, like_neighbour, verified, twice
 
 
-def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct column ``_q`` of the metrics. Null and empty texts have no words and zero counts."""
-    n = F.col("_n")
-    df = docs.withColumn("_t", whole_text(text_col))
-    df = df.withColumn("_w", F.array_remove(F.split("_t", SPACE), ""))
-    df = df.withColumn("_n", F.size("_w"))
-    _, packed, like_neighbour, verified, twice = _repeat_words(F.col("_w"), n)
-    df = df.withColumn("_p", packed)
-    maybe = F.transform(like_neighbour(F.col("_p")), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int"))
+def quality_metrics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """docs with a struct column of the metrics, and that column's name, which docs don't have. Null and empty texts have
+    no words and zero counts. The struct hangs on the row's number, which isn't deterministic to Spark, so a filter on it
+    is never moved below it, where every mention of a metric would be written out again."""
+    own = fresh(docs, "metrics")
+    t, w, k, packed_, m, v, at, lines, base = (f"{own}_{x}" for x in ("t", "w", "n", "p", "m", "v", "i", "l", "b"))
+    n = F.col(k)
+    df = docs.withColumn(t, whole_text(F.col(f"`{text_col}`")))
+    df = df.withColumn(w, F.array_remove(F.split(t, SPACE), ""))
+    df = df.withColumn(k, F.size(w))
+    _, packed, like_neighbour, verified, twice = _repeat_words(F.col(w), n)
+    df = df.withColumn(packed_, packed)
+    maybe = F.transform(like_neighbour(F.col(packed_)), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int"))
     every = F.when(n > _PLACE, F.sequence(F.lit(0), (n - 3).cast("int"))).otherwise(maybe)
-    df = df.withColumn("_m", every)
-    df = df.withColumn("_v", verified(F.col("_m"))).withColumn("_p", F.lit(None).cast("int"))
-    df = df.withColumn("_i", twice(F.col("_v")))
+    df = df.withColumn(m, every)
+    df = df.withColumn(v, verified(F.col(m))).drop(packed_)
+    df = df.withColumn(at, twice(F.col(v)))
     # a window covers its first word and the next two, but what the next repeated window starts is that one's
     covered = F.aggregate(
-        F.transform("_i", lambda x, j: F.least(F.lit(3), F.coalesce(F.get(F.col("_i"), j + 1) - x, F.lit(3)))),
+        F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(F.col(at), j + 1) - x, F.lit(3)))),
         F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    stop = F.size(F.filter("_w", lambda w: w.isin(STOP_WORDS)))
-    df = df.withColumn("_b", F.struct(
+    df = df.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    stop = F.size(F.filter(w, lambda x: x.isin(STOP_WORDS)))
+    df = df.withColumn(base, F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_t", f"[^{_SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size("_l").cast("long").alias("n_lines"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(t, f"[^{_SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
         covered.alias("n_repeat_words"),
         stop.cast("long").alias("n_stop_words"),
     ))
-    b, ratio = F.col("_b"), lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
-    df = df.withColumn("_q", F.struct(
-        "_b.*",
+    b, ratio = F.col(base), lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    df = df.withColumn(own, F.when(F.monotonically_increasing_id() >= 0, F.struct(
+        f"{base}.*",
         ratio(b.word_chars, b.n_words).alias("mean_word_chars"),
         ratio(b.n_symbols, b.word_chars).alias("symbol_ratio"),
         ratio(b.n_stop_words, b.n_words).alias("stop_ratio"),
         ratio(b.n_dup_lines, b.n_lines).alias("dup_line_ratio"),
         ratio(b.n_repeat_words, b.n_words).alias("repeat_ratio"),
-    ))
-    return df.drop("_t", "_w", "_n", "_p", "_m", "_v", "_i", "_l", "_b")
+    )))
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns], own), own
 
 
 def verdict(q: Column, thresholds=THRESHOLDS) -> Column:
@@ -111,8 +115,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have zero words, fail the base and are not kept. Ids are passed through, null or repeated
     as they may be; other columns are not read. An empty table gives an empty result.
     """
-    df = quality_metrics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
-    q = F.col("_q")
+    df, own = quality_metrics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
+    q = F.col(own)
     failed = (q.n_words < 50) | (100 * q.n_repeat_words > 50 * q.n_words)
     return df.select(
         F.col("_id").alias(id_col), *[q[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -123,11 +127,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_good(docs: DataFrame, text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of docs, with their columns, that the rules keep."""
-    q = F.col("_q")
-    # the id is not deterministic to Spark, so it won't move the filter below the metrics, where each would be written
-    # out again for every mention of it
-    df = quality_metrics(docs, text_col).withColumn("_row", F.monotonically_increasing_id())
-    return df.where((F.col("_row") >= 0) & verdict(q, thresholds) & ~(100 * q.n_repeat_words > 50 * q.n_words)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    df, own = quality_metrics(docs, text_col)
+    q = F.col(own)
+    return df.where(verdict(q, thresholds) & ~(100 * q.n_repeat_words > 50 * q.n_words)).drop(own)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,3 +24,14 @@ def test_awkward(spark, room):
     assert by[3].text is None and by[4].text == "" and by[5].text == " \n\t "
     assert by[1].text == "" and by[2].text is not None and by[9].text == "same\nsame\nsame"  # once in one page
     assert line_dedup.drop_boilerplate(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("room", [1 << 20, 0])
+def test_sites_of_any_type_and_clashing_names(spark, room):
+    df = spark.createDataFrame([(i, True, 1.5, f"own {i}\nsite line") for i in range(10)], "_n_lines long, flag boolean, rate double, text string")
+    df = df.withColumn("__docspark_bad", df.text)
+    for site in ("flag", "rate"):
+        got = line_dedup.drop_boilerplate(df, site, ratio=0.5, broadcast_bytes=room, counts=None)
+        assert got.columns == df.columns and sorted(r.text for r in got.collect()) == sorted(f"own {i}" for i in range(10))
+    with pytest.raises(ValueError):
+        line_dedup.drop_boilerplate(df, "flag")

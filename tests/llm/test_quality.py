@@ -3,9 +3,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.llm import quality_classifier as qc
 from docspark.llm import quality_rules as qr
+from tests.conftest import SF
 from tests.llm.data import LONG, ROWS, awkward, empty, labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,15 +29,21 @@ def test_rules_equal_brute_force(spark):
 
 
 def test_rules_filter_keeps_columns(spark):
-    df = awkward(spark, clash=False)
+    df = awkward(spark).withColumns({c: F.lit("x") for c in ("_n", "_w", "_p", "_m", "_v", "_i", "_l", "_b", "_q", "_row", "__docspark_metrics")})
     got = qr.keep_good(df)
     assert got.columns == df.columns and got.count() == 0  # all short, or repeating themselves
     good = " ".join(f"the word{i} of" for i in range(40))
     assert qr.keep_good(spark.createDataFrame([(1, good), (2, "## ** || " + good[:50])], "doc_id long, text string")).count() == 1
 
 
+def test_rules_filter_ends(spark):
+    """A filter must not write the metrics out again for each mention."""
+    df = qr.quality_rules(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert len(df.where("kept")._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert df.where("kept").count() == sum(r.kept for r in df.collect())
+
+
 def test_classifier_on_held_out_rows(spark):
-    from tests.conftest import SF
     sf = SF.replace("0.001", "0.01")
     rows = qc.op4_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
