@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: each stage takes what its predecessor kept."""
+"""From raw documents to packed sequences: each stage takes what its predecessor kept.
+
+Null and empty texts have no words and go with the rules. Rows that repeat an id are judged each by its own text, and go
+by id and text; of rows that repeat both, all stay or go together. Other columns, whatever their names, are passed on up to
+the last stage. An empty table, or one of which nothing is kept, gives no pieces.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +27,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; every document stays."""
-    clean = line_dedup.drop_boilerplate(docs).drop("_n_lines", "_n_dropped")
+    clean = line_dedup.drop_boilerplate(docs, counts=None)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
