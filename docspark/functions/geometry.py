@@ -44,3 +44,10 @@ def overlaps(a: str, b: str, margin: float = 0.0) -> Column:
     c = lambda s, k: F.col(f"{s}_{k}")
     return ((c(a, "x0") - margin <= c(b, "x1")) & (c(b, "x0") <= c(a, "x1") + margin)
             & (c(a, "y0") - margin <= c(b, "y1")) & (c(b, "y0") <= c(a, "y1") + margin))
+
+
+def quad_to_box(quad) -> Column:
+    """The upright box around a quadrilateral, an array of points (x, y)."""
+    q = F.col(quad) if isinstance(quad, str) else quad
+    edge = lambda f, i: f(F.transform(q, lambda p: p[i]))
+    return F.struct(edge(F.array_min, 0).alias("x0"), edge(F.array_min, 1).alias("y0"), edge(F.array_max, 0).alias("x1"), edge(F.array_max, 1).alias("y1"))

@@ -20,3 +20,11 @@ def dominant(df: DataFrame, by: list[str], value: str, name: str = "dominant") -
 def pervasive(df: DataFrame, by: list[str], mixed, share: float = PERVASIVE, least: int = PERVASIVE_LEAST) -> DataFrame:
     n, k = F.count(F.lit(1)), F.count_if(mixed)
     return df.groupBy(*by).agg(n.alias("inspected"), k.alias("mixed"), ((n >= least) & (k / n >= share)).alias("pervasive"))
+
+
+def form_data_fonts(tokens: DataFrame, by: list[str], font: str, kind: str, least: int = 5, share: float = 0.8) -> DataFrame:
+    """by, font: faces that hold ``share`` of a document's amounts and dates, if it has ``least`` of them. One aggregation
+    by face, whose few rows are then summed by document."""
+    n = tokens.where(F.col(kind).isin("amount", "date") & F.col(font).isNotNull()).groupBy(*by, font).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy(*by).agg(F.sum("n").alias("total"))
+    return n.join(total, by).where((F.col("total") >= least) & (F.col("n") >= share * F.col("total"))).select(*by, font)

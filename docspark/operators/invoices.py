@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions.text import normalize_label
+from docspark.functions.text import normalize_label, parse_amount
 
 # The labels of each role; the first role that lists a label has it.
 ROLES = {
@@ -110,3 +110,20 @@ def logical_invoices(pages: DataFrame) -> DataFrame:
         return doc.assign(invoice=pd.Series(invoices, dtype="int32"), confidence=[least[i] for i in invoices])
 
     return pages.groupBy("doc_id").applyInPandas(fold, schema)
+
+
+#: Roles that a line of a label and one number may sum up.
+SUMMARY_ROLES = ["subtotal", "discount", "cgst", "sgst", "igst", "gst", "grand_total", "deposit", "balance"]
+
+
+def summary_cells(lines: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
+    """keys, role, role_label, text, value of lines that have exactly one number and whose other tokens name a summary role."""
+    number = lambda t: parse_amount(t).isNotNull()
+    rows = lines.select(*keys, F.filter(tokens, number).alias("_n"), F.filter(tokens, lambda t: ~number(t)).alias("_l")).where("size(_n) = 1 AND size(_l) > 0")
+    rows = rows.withColumn("role", role_of(F.array_join("_l", "")))
+    return rows.where(F.col("role").isin(SUMMARY_ROLES)).select(*keys, "role", F.array_join("_l", " ").alias("role_label"), F.col("_n")[0].alias("text"), parse_amount(F.col("_n")[0]).alias("value"))
+
+
+def is_page_subtotal(label: Column) -> Column:
+    """A subtotal that its label says is a page's."""
+    return F.contains(normalize_label(label), F.lit("page"))

@@ -67,3 +67,37 @@ def assign_columns(cells: DataFrame, columns: DataFrame, by: list[str], at: str,
 
 def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def union_box(df: DataFrame, by: list[str], box: tuple = ("x0", "y0", "x1", "y1")) -> DataFrame:
+    """The box around a group's boxes."""
+    x0, y0, x1, y1 = box
+    return df.groupBy(*by).agg(F.min(x0).alias(x0), F.min(y0).alias(y0), F.max(x1).alias(x1), F.max(y1).alias(y1))
+
+
+def context_window(tokens: Column, reach: int = 3) -> Column:
+    """For each token of a line, the tokens within ``reach`` places before and after it, joined by spaces."""
+    size = F.size(tokens)
+    near = lambda i: F.concat(F.slice(tokens, F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))), F.slice(tokens, i + 2, F.lit(reach)))
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(near(i), " "))
+
+
+def row_cells(tokens: DataFrame, by: list[str], x: str, text: str, value: str) -> DataFrame:
+    """by, text, value: tokens of a cell joined from left to right; the value is that of its only number."""
+    return tokens.groupBy(*by).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(x, text))), lambda t: t[text]), " ").alias("text"),
+        F.when(F.count(value) == 1, F.max(value)).alias("value"))
+
+
+def reading_order(words: DataFrame, by: list[str], y: Column, x: Column, text: str, name: str = "text") -> DataFrame:
+    """Words of a match from top to bottom, then from left to right."""
+    parts = F.sort_array(F.collect_list(F.struct(y.alias("y"), x.alias("x"), F.col(text).alias("t"))))
+    return words.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias(name))
+
+
+def inferred_table(pages: DataFrame, by: list[str], order: list, schema: str, name: str = "columns") -> DataFrame:
+    """pages with the columns of their own header or, on a page without one, of the last page before that has one, and
+    whether they are inferred."""
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return pages.withColumns({name: F.last(schema, ignorenulls=True).over(w), "inferred": F.col(schema).isNull()})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.functions.text import tokens
+from docspark.functions.text import PRIORITY, tokens
 
 # Scores.
 SCORES = {"amount": 95, "date": 95, "id_like": 85}
@@ -47,3 +48,25 @@ def sequence_changes(before: pd.Series, after: pd.Series) -> pd.Series:
         return out
 
     return pd.Series([diff(a, b) for a, b in zip(before, after)])
+
+
+def join_pages(before: DataFrame, after: DataFrame, keys: list[str], page: str, text: str) -> DataFrame:
+    """keys, page, text_before, text_after, changed: pages of two versions side by side; a page that one lacks is empty."""
+    a, b = (x.select(*keys, page, F.col(text).alias(n), F.lit(True).alias(f"_{n}")) for x, n in ((before, "text_before"), (after, "text_after")))
+    both = a.join(b, [*keys, page], "full_outer").withColumns({c: F.coalesce(c, F.lit("")) for c in ("text_before", "text_after")})
+    return both.withColumns({"changed": F.col("text_before") != F.col("text_after"), "unpaired": F.col("_text_before").isNull() | F.col("_text_after").isNull()}).drop("_text_before", "_text_after")
+
+
+def best_kind(changes: DataFrame, by: list[str], kind: str = "kind") -> DataFrame:
+    """by, best: the kind of highest priority among a document's changes, null if none has one."""
+    place = reduce(lambda w, p: w.when(F.col(kind) == p[0], p[1]), PRIORITY.items(), F)
+    return changes.groupBy(*by).agg(F.min_by(kind, place).alias("best"))
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("a0", "a1", "b0", "b1")]]))
+
+
+@F.pandas_udf(_SPANS)
+def char_spans(before: pd.Series, after: pd.Series) -> pd.Series:
+    """How one token became another: spans of characters that stayed, were replaced, inserted or deleted."""
+    return pd.Series([[dict(zip(("op", "a0", "a1", "b0", "b1"), s)) for s in difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).get_opcodes()] for a, b in zip(before, after)])

@@ -1,5 +1,6 @@
 import pytest
 
+from docspark.plans import documents  # noqa: F401  (adds its queries)
 from docspark.plans.queries import QUERIES, SQL
 from tests.conftest import SF
 from tests.oracle import same
