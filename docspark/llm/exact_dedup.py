@@ -1,14 +1,15 @@
 """Exact duplicates by a tree-merge of sorted digest runs. DataFrame operations only.
 
-Each input partition becomes a run: its rows' digests, sorted, one entry per text with the smallest id and the
-count. Runs are then merged in rounds: in a round, the ``fan_in`` runs whose numbers share a prefix meet, slice
-by slice of the digest space, so no task ever holds more than one slice of ``fan_in`` runs. The root knows the
-smallest id of each text. Its answer goes down the same tree: an entry of a level is joined with one entry of
-the level above, and an entry above has at most ``fan_in`` partners. A text that a third of all rows share is
-thus never one task's work on the way up or down.
-
-Entries agree only if SHA-256, length in bytes and an independent 64-bit hash agree; this is verified at every
-level, since all three are part of the key.
+Each input partition becomes a run: its rows' digests in order, one entry per text with the smallest id and the count. Runs
+then merge in binomial rounds: a round takes ``steps`` steps of a binomial tree at once, so the 2^steps runs whose numbers
+differ in as many low bits meet and are merged into one, slice by slice of the digest space: no task holds more than one
+slice of 2^steps runs. A merge sorts what it gets, which comes as sorted runs, and reduces neighbours; every level is
+written in that order. The root knows the smallest id of each text. Its answer goes down the same tree: an entry of a level
+is joined with one entry of the level above, and an entry above has at most 2^steps partners. A text that a third of all
+rows share is thus never one task's work on the way up or down.
+
+Entries agree only if SHA-256, length in bytes and an independent 64-bit hash agree; this is verified at every level, since
+all three are part of the key.
 """
 
 from __future__ import annotations
@@ -21,7 +22,20 @@ from .common import SPACE, materialise, table, whole_text
 KEY = ["digest", "n_bytes", "witness"]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def sorted_run(entries: DataFrame, by: list[str]) -> DataFrame:
+    """Entries of equal keys reduced to one, with the smallest id (a null one only if there is no other) and the count, in
+    the order of the keys. A minimum of structs is not hashed by Spark: the entries are sorted and neighbours reduced."""
+    return entries.groupBy(*by, *KEY).agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
+
+
+def merge(level: DataFrame, steps: int) -> DataFrame:
+    """The runs of the next level: 2^steps runs become one."""
+    near = level.withColumn("run", F.shiftright("run", steps)).withColumn("slice", F.substring("digest", 1, 2))
+    near = near.repartition("run", "slice").sortWithinPartitions("run", "slice", *KEY)
+    return sorted_run(near, ["run", "slice"]).drop("slice")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = 2) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of white space is replaced by one space; null counts as empty.
@@ -37,33 +51,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.octet_length("norm").cast("long").alias("n_bytes"),
         F.xxhash64("norm").alias("witness"),
     )
-    leaf = materialise(leaf.sortWithinPartitions("digest", "id"), "digest-runs")
+    leaf = materialise(leaf, "digests")
     runs = (leaf.agg(F.max("run")).first()[0] or 0) + 1
 
-    levels = [materialise(leaf.groupBy("run", *KEY).agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n")), "level0")]
+    entries = leaf.withColumns({"keep": F.struct(F.col("id").isNull().alias("none"), "id"), "n": F.lit(1).cast("long")})
+    levels = [materialise(sorted_run(entries, ["run"]), "runs0")]
     while runs > 1:
-        runs = -(-runs // fan_in)
-        merged = (
-            levels[-1]
-            .withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .withColumn("slice", F.substring("digest", 1, 2))
-            .repartition("run", "slice")
-            .sortWithinPartitions("run", "slice", *KEY, "keep")
-            .groupBy("run", "slice", *KEY)
-            .agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
-            .drop("slice")
-        )
-        levels.append(materialise(merged, f"level{len(levels)}"))
+        runs = -(-runs >> steps)
+        levels.append(materialise(merge(levels[-1], steps), f"runs{len(levels)}"))
 
     found = levels.pop()
     while levels:
-        child = levels.pop().drop("keep", "n").withColumn("parent", F.floor(F.col("run") / fan_in).cast("int"))
+        child = levels.pop().drop("keep", "n").withColumn("parent", F.shiftright("run", steps))
         found = child.join(found.withColumnRenamed("run", "parent"), ["parent", *KEY]).drop("parent")
     return leaf.join(found, ["run", *KEY]).select(
         F.col("id").alias(id_col),
-        F.col("keep").alias("keep_id"),
+        F.col("keep.id").alias("keep_id"),
         F.col("n").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("keep")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("keep.id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
