@@ -64,6 +64,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salts_for(rows: int, each: int = 1 << 20, least: int = 64) -> int:
+    """How many salts leave at most about ``each`` rows of one group in a task, though the group be all rows."""
+    return max(least, -(-rows // each))
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, most_bytes: int = 16 << 20) -> DataFrame:
     """docs, with its columns, without the rows that gone names by ``id`` and ``h``, the xxhash64 of the text. The list
     is broadcast only if its ids and hashes take at most ``most_bytes``, as summed up; else it is joined by a shuffle."""

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, whole_text
+from .common import forget, materialise, table, whole_text
 
 _FLUSH = 400_000
 
@@ -222,6 +222,7 @@ def fit(cells: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, conce
     def kind(df):
         return ", ".join(f"{c} {k}" for c, k in df.dtypes)
 
+    old = []  # tables of the last sweep, which the next one's replace
     for sweep in range(warm + sweeps):
         averaged = F.lit(float(sweep > warm))
         now = sums().withColumns({"tables_sum": F.col("tables_sum") + averaged * F.col("s"), "t": F.lit(0.0)})
@@ -230,12 +231,15 @@ def fit(cells: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, conce
         strength = concentration + discount * root_tables
         now = materialise(now.mapInArrow(
             reseat(lambda x, s=strength: (x["k"], np.full(len(x["k"]), 1 / (types + 1)), np.full(len(x["k"]), s)), lambda x: x["h"], "t", sweep), kind(now)), "root")
+        root_table = now
         root_tables, customers = (x or 0.0 for x in now.agg(F.sum("t"), F.sum("k")).first())
         root = (F.greatest(F.col("k") - discount * F.col("t"), F.lit(0.0)) + (concentration + discount * root_tables) / (types + 1)) / (concentration + customers)
         now = now.withColumn("root", root)
         c = again.join(now.select(F.col("h").alias("w"), "root"), "w").join(now.select(F.col("h").alias("u"), "s"), "u")
         c = c.mapInArrow(reseat(lambda x: (x["n"].astype(float), x["root"], concentration + discount * x["s"]), lambda x: cell_key(x["u"], x["w"]), "t", sweep), kind(c))
         again = materialise(c.select("u", "w", "n", "other", "t", (F.col("t_sum") + F.lit(float(sweep >= warm)) * F.col("t")).alias("t_sum")), "seated")
+        forget(*old)
+        old = [root_table, again]
         words = now.select("h", "n", "u1", "w1", "tables_sum", (F.col("root_sum") + F.lit(float(sweep >= warm)) * F.col("root")).alias("root_sum"))
     words = sums().select("h", "n", ((F.col("tables_sum") + F.col("s")) / sweeps).alias("tables"), (F.col("root_sum") / sweeps).alias("root"))
     cells = cells.where("n <= 1").select("*", F.col("n").cast("double").alias("t")).unionByName(again.select("u", "w", "n", "other", (F.col("t_sum") / sweeps).alias("t")))

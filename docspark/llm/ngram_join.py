@@ -30,11 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialise, table, whole_text, without
+from .common import forget, materialise, salts_for, table, whole_text, without
 from .graph import connected_components
 
 _FLUSH = 400_000
-_SALTS = 64
 #: Pieces that the global order is cut into.
 FRAGMENTS = 8
 #: Lists with at most this many pairs apart for each of their sets are compared pair by pair.
@@ -259,7 +258,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialise(rows.mapInArrow(_sets(n, percent), f"id {kind}, h long, n long, cls binary, node long, some array<bigint>"), "sets")
 
     # classes of equal sets; reduced within salts, so that no class's rows meet in one task
-    light = sets.select("id", "h", "n", "cls", "node", F.pmod(F.xxhash64("id", "cls"), F.lit(_SALTS)).alias("salt"))
+    light = sets.select("id", "h", "n", "cls", "node", F.pmod(F.xxhash64("id", "h"), F.lit(salts_for(sets.count()))).alias("salt"))
     salted = materialise(light.where("n > 0").groupBy("cls", "salt").agg(F.min("id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n")), "salted")
     classes = materialise(salted.groupBy("cls").agg(F.min("id").alias("rep"), F.first("node").alias("node"), F.first("n").alias("n")), "classes")
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import forget, materialise, table
 
 #: verdict, host and its subdomains, start of the path
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -56,7 +56,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     """host, trust, distrust. edges: src, dst, w, one row per pair; seeds: host, trust, distrust, each summing to one
     (or to zero). Mass of hosts without links goes back to the seeds. Ends when a round moves less than ``close``,
     or after ``rounds`` if given. A round moves at most ``damping`` times what the one before moved, the first at most 4,
-    so the number of rounds that close takes is known; it is an error if they don't suffice."""
+    so the number of rounds that close takes is known; it is an error if they don't suffice. Shares are summed within
+    partitions before they move; a hub's edges are a skewed join, which Spark splits as it runs."""
     out = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
     into = edges.groupBy("dst").agg(F.sum("w").alias("in_w"))
     edges = materialise(edges.join(out, "src").join(into, "dst"), "edges")
@@ -65,19 +66,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         .select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"), F.col("out_w").isNull().alias("no_out"), F.col("in_w").isNull().alias("no_in")),
         "hosts")
     ranks = has.withColumns({"trust": F.col("t0"), "distrust": F.col("d0")})
+    def lost(t, d):  # mass of hosts without links
+        return F.sum(F.when(F.col("no_out"), F.col(t))), F.sum(F.when(F.col("no_in"), F.col(d)))
+
+    before, (lost_t, lost_d) = None, (x or 0.0 for x in ranks.agg(*lost("trust", "distrust")).first())
     most = rounds if rounds is not None else math.ceil(math.log(close / 4) / math.log(damping)) + 2
     for _ in range(most):
-        lost = ranks.agg(F.sum(F.when(F.col("no_out"), F.col("trust"))), F.sum(F.when(F.col("no_in"), F.col("distrust")))).first()
-        lost_t, lost_d = (x or 0.0 for x in lost)
         ahead = edges.join(ranks.select(F.col("host").alias("src"), "trust"), "src").select(
             F.col("dst").alias("host"), (F.col("trust") * F.col("w") / F.col("out_w")).alias("t"), F.lit(0.0).alias("d"))
         back = edges.join(ranks.select(F.col("host").alias("dst"), "distrust"), "dst").select(
             F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("w") / F.col("in_w")).alias("d"))
         got = ahead.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        new = lambda got, lost, seed: damping * (F.coalesce(F.col(got), F.lit(0.0)) + F.lit(lost) * F.col(seed)) + (1 - damping) * F.col(seed)
+        new = lambda got, back, seed: damping * (F.coalesce(F.col(got), F.lit(0.0)) + F.lit(back) * F.col(seed)) + (1 - damping) * F.col(seed)
         after = ranks.join(got, "host", "left").withColumns({"t1": new("t", lost_t, "t0"), "d1": new("d", lost_d, "d0")})
         after = materialise(after.withColumn("moved", F.abs(F.col("t1") - F.col("trust")) + F.abs(F.col("d1") - F.col("distrust"))), "ranks")
-        moved = after.agg(F.sum("moved")).first()[0] or 0.0
+        if before is not None:
+            forget(before)
+        before = after
+        lost_t, lost_d, moved = (x or 0.0 for x in after.agg(*lost("t1", "d1"), F.sum("moved")).first())
         ranks = after.select("host", "t0", "d0", "no_out", "no_in", F.col("t1").alias("trust"), F.col("d1").alias("distrust"))
         if moved < close:
             break

@@ -3,8 +3,8 @@
 A file starts with a skippable frame (magic 0x184D2A5D) that holds a Zstandard dictionary built from archived
 records; each record then is a frame of its own, compressed with it. Records whose payload another record holds
 are written as revisits of it. Files go to a folder that driver and executors share; each is written under a
-temporary name and renamed when whole, and only files that a finished task reports are read, so a lost executor
-leaves at most a file that nobody reads.
+temporary name and renamed when whole. Names hold the number of the task's attempt, and only files that a finished attempt
+reports are read, so a lost executor or a late attempt leaves at most files that nobody reads.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table
+from .common import materialise, salts_for, shared_dir, table
 
 MAGIC = 0x184D2A5D
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -101,7 +101,7 @@ def records(content: bytes):
 # -- files ------------------------------------------------------------------------------------------------------
 
 def _write(folder: str, name: str, content: bytes) -> None:
-    """Whole or not at all; a later attempt of the same task writes the same bytes under the same name."""
+    """Whole or not at all."""
     where, scratch = urlparse(folder), f".{name}.{uuid.uuid4().hex}"
     if where.scheme in ("", "file"):
         os.makedirs(where.path, exist_ok=True)
@@ -120,11 +120,13 @@ def _write(folder: str, name: str, content: bytes) -> None:
 
 def choose_responses(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) -> DataFrame:
     """page, digest, size and the id of the response, for pages that revisit another. Payloads are equal if SHA-256 and
-    size agree. Groups are reduced within salts first and then joined salt by salt, so no task gets a whole group."""
+    size agree. Groups are reduced within salts first and then joined salt by salt, so no task gets a whole group; there are
+    the more salts the more rows there are."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page"), payload.alias("p"))
-    rows = rows.select("page", F.unhex(F.sha2("p", 256)).alias("digest"), F.octet_length("p").alias("size"), F.pmod(F.xxhash64("page"), F.lit(64)).alias("salt"))
+    rows = rows.select("page", F.unhex(F.sha2("p", 256)).alias("digest"), F.octet_length("p").alias("size"))
     rows = materialise(rows.where(F.col("size") >= least_bytes), "payloads")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(salts_for(rows.count()))))
     part = rows.groupBy("digest", "size", "salt").agg(F.max("page").alias("m"), F.count(F.lit(1)).alias("n"))
     part = materialise(part, "payload-parts")
     top = part.groupBy("digest", "size").agg(F.max("m").alias("response"), F.sum("n").alias("n")).where("n > 1").drop("n")
@@ -140,15 +142,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of pages with equal payloads of at least least_bytes bytes, the one with the largest id is the response and the
     others revisit it; pages whose id is null or repeated with the same payload are responses each. A repeated id may have
     several payloads, of which each is looked up by itself. A null html is an
-    empty payload, a null url leaves the target out. The dictionary is built from ``sample_records`` records at most, each cut so
-    that all take ``sample_bytes`` bytes. An empty table gives no files.
+    empty payload, a null url leaves the target out. The dictionary is built from the ``sample_records`` records of the whole
+    table whose page and url have the smallest hashes, each cut so that all take ``sample_bytes`` bytes; only how well
+    records are compressed hangs on it. An empty table gives no files.
     """
     import zstandard
 
     spark = pages.sparkSession
     p = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    start = p.withColumn("payload", F.substring("payload", 1, sample_bytes // sample_records))
-    few = [make_record(r.page, r.url, bytes(r.payload)) for r in start.take(sample_records)]
+    start = p.select("page", "url", F.substring("payload", 1, sample_bytes // sample_records).alias("payload"))
+    few = [make_record(r.page, r.url, bytes(r.payload)) for r in start.orderBy(F.xxhash64("page", "url"), "payload").limit(sample_records).collect()]
     words = spark.sparkContext.broadcast(dictionary(few, dictionary_bytes) if few else b"")
     revisits = choose_responses(pages, id_col, html_col, least_bytes)
     revisits = materialise(revisits.distinct(), "revisits")
@@ -158,12 +161,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     def write(batches):
         from pyspark import TaskContext
 
-        task, lead = TaskContext.get().partitionId(), leading_frame(words.value)
+        context, lead = TaskContext.get(), leading_frame(words.value)
+        task = f"{context.partitionId():06d}-{context.taskAttemptId():06d}"  # an attempt never writes over another's files
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words.value)) if words.value else zstandard.ZstdCompressor(level=level)
         out, n, names = io.BytesIO(), 0, []
 
         def done():
-            name = f"part-{task:06d}-{len(names):05d}.warc.zst"
+            name = f"part-{task}-{len(names):05d}.warc.zst"
             _write(folder, name, lead + out.getvalue())
             names.append((f"{folder}/{name}", n))
 

@@ -70,3 +70,28 @@ def test_long_chain_is_followed_to_its_end(spark):
     rows += [(100 + i, f"http://alone{i}.com/a", None) for i in range(30)]
     got = judge(spark, rows)
     assert {got[i].verdict for i in range(24)} == {"block"} and {got[100 + i].verdict for i in range(30)} == {"allow"}
+
+
+def test_query_over_a_table_with_links(spark, tmp_path):
+    """The registered query on pages whose links cross hosts, among them a hub, against the rules and ranks in plain Python."""
+    import random
+
+    from docspark.llm import registry
+
+    random.seed(3)
+    hosts = [f"bad{i}.net" for i in range(6)] + [f"good{i}.org" for i in range(6)] + [f"h{i}.com" for i in range(40)]
+    rows, links = [], {}
+    for k, host in enumerate(hosts):
+        for j in range(3):
+            to = random.sample(hosts[:12] if k % 3 else hosts[12:], 2) + (["h0.com"] if k % 2 else [])
+            rows.append((len(rows), f"http://{host}/{'fr' if host.endswith('org') else 'x'}/{j}", "".join(f"<a href='//{x.upper()}/{j}'>" for x in to)))
+            for x in set(to) - {host}:
+                links[host, x] = links.get((host, x), 0) + 1.0
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    seeds = {h: ((1 / 6) * h.endswith(".org"), (1 / 6) * h.endswith(".net")) for h in hosts}
+    t, d = brute([(*k, w) for k, w in links.items()], seeds, rounds=150)
+    want = {h: "block" if d[h] >= 0.1 / len(hosts) and d[h] > 0.5 * (t[h] + d[h]) else "allow" for h in hosts}
+    want |= {h: "block" for h in hosts[:6]} | {h: "allow" for h in hosts[6:12]}
+    got = registry.queries()["op10_url_filter"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.verdict == want[r.host] for r in got)
+    assert 3 < sum(want[h] == "block" for h in hosts[12:]) < 37
