@@ -142,16 +142,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of pages with equal payloads of at least least_bytes bytes, the one with the largest id is the response and the
     others revisit it; pages whose id is null or repeated with the same payload are responses each. A repeated id may have
     several payloads, of which each is looked up by itself. A null html is an
-    empty payload, a null url leaves the target out. The dictionary is built from the ``sample_records`` records of the whole
-    table whose page and url have the smallest hashes, each cut so that all take ``sample_bytes`` bytes; only how well
-    records are compressed hangs on it. An empty table gives no files.
+    empty payload, a null url leaves the target out. The dictionary is built from about ``sample_records`` records, at most, of the
+    whole table, taken by a hash of the row and each cut so that all take ``sample_bytes`` bytes; only how well records are
+    compressed hangs on it. An empty table gives no files.
     """
     import zstandard
 
     spark = pages.sparkSession
     p = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     start = p.select("page", "url", F.substring("payload", 1, sample_bytes // sample_records).alias("payload"))
-    few = [make_record(r.page, r.url, bytes(r.payload)) for r in start.orderBy(F.xxhash64("page", "url"), "payload").limit(sample_records).collect()]
+    below = min((1 << 63) - 1, (sample_records << 64) // max(1, pages.count()) - (1 << 63))
+    few = start.where(F.xxhash64("page", "url", "payload") <= below).limit(2 * sample_records).collect()  # the limit is for equal rows
+    few = sorted(make_record(r.page, r.url, bytes(r.payload)) for r in few)[:sample_records]
     words = spark.sparkContext.broadcast(dictionary(few, dictionary_bytes) if few else b"")
     revisits = choose_responses(pages, id_col, html_col, least_bytes)
     revisits = materialise(revisits.distinct(), "revisits")
