@@ -35,3 +35,24 @@ def test_pipeline_equals_its_stages(spark):
     for r in rows:
         x = want[r.doc_id][r.start : r.start + r.length]
         assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in x))
+
+
+def test_stages_take_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls, repeated ids, clashing names and no rows: every stage keeps the columns, and what it keeps is whole rows."""
+    import corpus_pipeline as cp
+    from tests.llm.data import awkward, empty, labels
+
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    good = " ".join(f"the word{i} of" for i in range(40))
+    more = spark.createDataFrame([(20, good, "en", "a", 9), (20, good + " end", "en", "a", 9), (21, good, "en", None, 9), (None, good + " a", "en", "a", 9)], empty(spark).schema)
+    df = awkward(spark).unionByName(more, allowMissingColumns=True)
+    rows = {(r.doc_id, r.text) for r in df.collect()}
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, df, str(tmp_path))
+        assert got.columns == df.columns and {(r.doc_id, r.text) for r in got.collect()} <= rows
+        assert stage(spark, empty(spark), str(tmp_path)).count() == 0
+    kept = cp.STAGES[1][1](spark, df, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {20, 21, None}
+    left = cp.STAGES[3][1](spark, kept, str(tmp_path)).collect()
+    assert len(left) == 2 and {r.doc_id for r in left} == {20, None}
+    assert cp.STAGES[-1][1](spark, kept, str(tmp_path)).count() > 0 and cp.STAGES[-1][1](spark, empty(spark), str(tmp_path)).count() == 0
