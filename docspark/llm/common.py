@@ -29,12 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's own switch to delete the shuffle files of a query as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here, and lost
-    executors cost no recomputation of what came before."""
-    path = f"{shared_dir(df.sparkSession)}/docspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    executors cost no recomputation of what came before. The shuffle files of the write go with its end."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/docspark-{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    found = spark.read.schema(df.schema).parquet(path)
     found._docspark_path = path
     return found
 

@@ -197,12 +197,19 @@ class WordModel:
 
 
 def fit(cells: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, concentration=5.0, warm=2, sweeps=4) -> tuple[DataFrame, DataFrame]:
-    """The model of ``ContextModel`` over all cells. cells: u, w, n, other; vocabulary: h, n, u1, w1 (cells of one
-    customer that have h as context, as word). Returns the cells with ``t``, and h, n, tables and root: means over the
-    sweeps. A word's tables and root are those of its context and of its dish."""
+    """The model of ``ContextModel`` over all cells. cells: u, w, n, other; vocabulary: h, n, m, u1, w1 (customers, all
+    tokens, cells of one customer that have h as context, as word). Returns the cells with ``t``, and h, n, m, tables and
+    root: means over the sweeps. A word's tables and root are those of its context and of its dish.
+
+    Words in no cell of several customers whose dish has at most one customer in the parent keep their tables in every
+    sweep; they count in the parent's sums, and their root follows from that customer."""
     again = cells.where("n > 1").select("*", F.lit(1.0).alias("t"), F.lit(0.0).alias("t_sum"))
-    words = vocabulary.select("h", "n", "u1", "w1", F.lit(0.0).alias("tables_sum"), F.lit(0.0).alias("root_sum"))
-    root_tables = None
+    met = again.select(F.explode(F.array("u", "w")).alias("h")).distinct().withColumn("met", F.lit(True))
+    vocabulary = materialise(vocabulary.join(met, "h", "left").withColumn("moves", F.coalesce("met", F.lit(False)) | (F.col("w1") > 1)).drop("met"), "moves")
+    still = vocabulary.where("not moves")
+    alone = float(still.agg(F.sum("w1")).first()[0] or 0)  # customers and tables of the parent
+    words = vocabulary.where("moves").select("h", "n", "m", "u1", "w1", F.lit(0.0).alias("tables_sum"), F.lit(0.0).alias("root_sum"))
+    root_tables, still_root = None, [0.0, 0.0]
 
     def sums():
         t = again.select(F.col("w").alias("h"), F.col("t").alias("k"), F.lit(0.0).alias("s")).unionByName(again.select(F.col("u").alias("h"), F.lit(0.0).alias("k"), F.col("t").alias("s")))
@@ -227,33 +234,47 @@ def fit(cells: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, conce
         averaged = F.lit(float(sweep > warm))
         now = sums().withColumns({"tables_sum": F.col("tables_sum") + averaged * F.col("s"), "t": F.lit(0.0)})
         if root_tables is None:
-            root_tables = float(now.agg(F.count_if(F.col("k") > 0)).first()[0])
+            root_tables = alone + float(now.agg(F.count_if(F.col("k") > 0)).first()[0])
         strength = concentration + discount * root_tables
         now = materialise(now.mapInArrow(
             reseat(lambda x, s=strength: (x["k"], np.full(len(x["k"]), 1 / (types + 1)), np.full(len(x["k"]), s)), lambda x: x["h"], "t", sweep), kind(now)), "root")
         root_table = now
-        root_tables, customers = (x or 0.0 for x in now.agg(F.sum("t"), F.sum("k")).first())
-        root = (F.greatest(F.col("k") - discount * F.col("t"), F.lit(0.0)) + (concentration + discount * root_tables) / (types + 1)) / (concentration + customers)
-        now = now.withColumn("root", root)
+        root_tables, customers = (alone + (x or 0.0) for x in now.agg(F.sum("t"), F.sum("k")).first())
+        share = (concentration + discount * root_tables) / (types + 1)
+        now = now.withColumn("root", (F.greatest(F.col("k") - discount * F.col("t"), F.lit(0.0)) + share) / (concentration + customers))
+        if sweep >= warm:
+            still_root = [x + (max(k - discount * k, 0.0) + share) / (concentration + customers) for k, x in enumerate(still_root)]
         c = again.join(now.select(F.col("h").alias("w"), "root"), "w").join(now.select(F.col("h").alias("u"), "s"), "u")
         c = c.mapInArrow(reseat(lambda x: (x["n"].astype(float), x["root"], concentration + discount * x["s"]), lambda x: cell_key(x["u"], x["w"]), "t", sweep), kind(c))
         again = materialise(c.select("u", "w", "n", "other", "t", (F.col("t_sum") + F.lit(float(sweep >= warm)) * F.col("t")).alias("t_sum")), "seated")
         forget(*old)
         old = [root_table, again]
-        words = now.select("h", "n", "u1", "w1", "tables_sum", (F.col("root_sum") + F.lit(float(sweep >= warm)) * F.col("root")).alias("root_sum"))
-    words = sums().select("h", "n", ((F.col("tables_sum") + F.col("s")) / sweeps).alias("tables"), (F.col("root_sum") / sweeps).alias("root"))
+        words = now.select("h", "n", "m", "u1", "w1", "tables_sum", (F.col("root_sum") + F.lit(float(sweep >= warm)) * F.col("root")).alias("root_sum"))
+    words = sums().select("h", "n", "m", ((F.col("tables_sum") + F.col("s")) / sweeps).alias("tables"), (F.col("root_sum") / sweeps).alias("root"))
+    words = words.unionByName(still.select("h", "n", "m", F.col("u1").cast("double").alias("tables"), (F.when(F.col("w1") > 0, still_root[1]).otherwise(still_root[0]) / sweeps).alias("root")))
+    words = materialise(words, "words")
+    forget(root_table, vocabulary)
     cells = cells.where("n <= 1").select("*", F.col("n").cast("double").alias("t")).unionByName(again.select("u", "w", "n", "other", (F.col("t_sum") / sweeps).alias("t")))
-    return cells, materialise(words, "words")
+    return cells, words
 
 
 # -- scoring ----------------------------------------------------------------------------------------------------
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 510, lexicon: int = 1 << 20) -> DataFrame:
+def _with(cells: DataFrame, words: DataFrame, side: str, lexicon: int, every: int) -> DataFrame:
+    """cells with what words tell of their ``side``. Words that make up more than a 1/lexicon share of all tokens, fewer
+    than lexicon, are broadcast; only cells of the others are shuffled, and none of those words can be frequent."""
+    often = F.col("m") * lexicon > every
+    hot = cells.join(F.broadcast(words.where(often).drop("m")), side, "left")
+    told = next(c for c in words.columns if c not in (side, "m"))
+    return hot.where(F.col(told).isNotNull()).unionByName(hot.where(F.col(told).isNull()).select(cells.columns).join(words.where(~often).drop("m"), side))
+
+
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 510, lexicon: int = 1 << 20, slices: int = 4) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     A null or empty text has one token, its end. Repeated rows are learned from and scored each; other columns are not
     read. Without training texts the base gives every token the same probability, and so does the model. ``classes`` has
-    no effect: all words are contexts and dishes.
+    no effect: all words are contexts and dishes. Scores of cells that are not broadcast are joined in ``slices`` parts.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     discount, concentration = 0.7, 5.0
@@ -264,21 +285,22 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     none = F.lit(0).cast("long")
     vocabulary = cells.select(F.col("w").alias("h"), "n", "other", none.alias("u1"), one.cast("long").alias("w1")).unionByName(
         cells.where("n = 1").select(F.col("u").alias("h"), none.alias("n"), none.alias("other"), F.lit(1).cast("long").alias("u1"), none.alias("w1")))
-    vocabulary = materialise(vocabulary.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", "other", "u1", "w1"))), "vocabulary")
-    n_all, v, every = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum(F.col("n") + F.col("other"))).first())
-    cells, words = fit(cells, vocabulary, v, discount, concentration)
+    vocabulary = materialise(vocabulary.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") + F.col("other")).alias("m"), F.sum("u1").alias("u1"), F.sum("w1").alias("w1")), "vocabulary")
+    n_all, v, every = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum("m")).first())
+    seen, words = fit(cells, vocabulary, v, discount, concentration)
 
     # own and back: of the context's mass what the cell has and what goes to the parent
-    by_u = words.select(F.col("h").alias("u"), (concentration + F.col("n")).alias("size"), (concentration + discount * F.col("tables")).alias("new"))
-    by_w = words.select(F.col("h").alias("w"), F.col("n").alias("c"), "root")
-    found = cells.join(by_u, "u").select(
-        _cell_key(F.col("u"), F.col("w")).alias("h"), "w", (F.col("n") + F.col("other")).alias("m"),
-        ((F.col("n") - discount * F.col("t")) / F.col("size")).alias("own"), (F.col("new") / F.col("size")).alias("back")).join(by_w, "w")
+    by_u = words.select(F.col("h").alias("u"), "m", (concentration + F.col("n")).alias("size"), (concentration + discount * F.col("tables")).alias("new"))
+    by_w = words.select(F.col("h").alias("w"), "m", F.col("n").alias("c"), "root")
+    found = _with(_with(seen.withColumn("m", F.col("n") + F.col("other")), by_u, "u", lexicon, every), by_w, "w", lexicon, every)
     found = materialise(found.select(
-        "h", "m", F.log10(F.col("own") + F.col("back") * F.col("root")).alias("s"), F.log10((F.col("c") + 1) / F.lit(float(n_all + v + 1))).alias("b"),
-        F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("k")), "cell-scores")
+        _cell_key(F.col("u"), F.col("w")).alias("h"), "m", "c",
+        F.log10((F.col("n") - discount * F.col("t")) / F.col("size") + F.col("new") / F.col("size") * F.col("root")).alias("s")), "cell-scores")
+    forget(cells, vocabulary, words)
+    base = F.log10((F.col("c") + 1) / F.lit(float(n_all + v + 1)))
+    one = F.when(F.col("c") > 0, 1).otherwise(0).cast("long")
 
-    frequent = found.where(F.col("m") * lexicon > every).select("h", "s", "b", "k").toPandas().sort_values("h")  # fewer than lexicon
+    frequent = found.where(F.col("m") * lexicon > every).select("h", "s", base.alias("b"), one.alias("k")).toPandas().sort_values("h")  # fewer than lexicon
     known = spark.sparkContext.broadcast(tuple(frequent[c].to_numpy() for c in ("h", "s", "b", "k")))
 
     def run(batches):
@@ -301,8 +323,14 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
                 key += texts
 
     scored = materialise(rows.mapInArrow(run, f"row long, id {kind}, held boolean, n_tokens long, k long, b double, s double, rare array<bigint>"), "scored")
-    rest = scored.select("row", F.explode("rare").alias("h")).join(found.where(F.col("m") * lexicon <= every).drop("m"), "h")
-    rest = rest.groupBy("row").agg(F.sum("k").alias("k2"), F.sum("b").alias("b2"), F.sum("s").alias("s2"))
+    rare, pairs, sums = found.where(F.col("m") * lexicon <= every).drop("m"), scored.select("row", F.explode("rare").alias("h")), None
+    for part in range(slices):  # one after the other, as their shuffles are deleted in between
+        own = F.pmod(F.col("h"), F.lit(slices)) == part
+        got = pairs.where(own).join(rare.where(own), "h").groupBy("row").agg(F.sum(one).alias("k2"), F.sum(base).alias("b2"), F.sum("s").alias("s2"))
+        got = materialise(got, "rare-scores")
+        sums = got if sums is None else sums.unionByName(got)
+    rest = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("k2", "b2", "s2")))
+    forget(found)
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     done = scored.drop("rare").join(rest, "row", "left")
     return done.select(
