@@ -17,13 +17,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, materialise, table, whole_text
 
-_FLUSH = 400_000
+_FLUSH = 200_000
+
+#: Bytes of text that are split into words at once; one text may be longer.
+_PART = 4 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -69,6 +73,15 @@ def cells_of(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([[END], w[:-1]]), w, np.repeat(np.arange(len(texts)), size)
 
 
+def parts(batch: pa.RecordBatch, column: int):
+    """The batch in parts of at most ``_PART`` bytes of text, or of one text."""
+    ends, lo = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, _PART + (ends[lo - 1] if lo else 0), "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def cell_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = u.view(np.uint64)
     return ((x << np.uint64(1)) | (x >> np.uint64(63))).view(np.int64) ^ w
@@ -81,8 +94,7 @@ def _cell_key(u: Column, w: Column) -> Column:
 def _count_cells(batches):
     hashes = Hashes()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            part = batch.slice(lo, 2048)
+        for part in parts(batch, 1):
             u, w, doc = cells_of(part.column(1).to_pylist(), hashes)
             held = part.column(0).to_numpy(zero_copy_only=False).astype(bool)[doc]
             _, first, at = np.unique(cell_key(u, w), return_index=True, return_inverse=True)
@@ -308,8 +320,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
 
         hashes, (h, *scores), key = Hashes(), known.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in parts(batch, 2):
                 u, w, doc = cells_of(part.column(2).to_pylist(), hashes)
                 cell, texts = cell_key(u, w), part.num_rows
                 at = np.minimum(np.searchsorted(h, cell), max(0, len(h) - 1))
