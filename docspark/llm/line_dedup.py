@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, materialise, table
+from .common import SPACE, fresh, materialise, table, tidy
 
 _FLUSH = 200_000
 _SPACES = re.compile(SPACE)
@@ -53,7 +53,7 @@ def boilerplate(docs: DataFrame, site_col: str, text_col: str, ratio: float, min
     site = F.col(f"`{site_col}`").cast("string")
     totals = docs.groupBy(site.alias("site")).agg(F.count(F.lit(1)).alias("pages"))
     # the site is part of the key, so it needs no place in the grouping; its total is looked up for candidates only
-    lines = docs.select(site.alias("site"), F.col(f"`{text_col}`")).mapInArrow(_count, "site string, key binary, n long")
+    lines = docs.select(site.alias("site"), F.col(f"`{text_col}`")).mapInArrow(tidy(_count), "site string, key binary, n long")
     lines = lines.groupBy("key").agg(F.sum("n").alias("n"), F.first("site").alias("site")).where(F.col("n") >= min_pages)
     lines = materialise(lines, "frequent-lines")
     return lines.join(totals, lines["site"].eqNullSafe(totals["site"])).where(F.col("n") > ratio * F.col("pages")).select(lines["site"], "key", "n")
@@ -104,7 +104,7 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
 
     schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in columns] + [f"`{c}` long" for c in names])
     site = F.col(f"`{site_col}`").cast("string").alias(fresh(docs, "site"))  # as counted: Spark's own way to write it
-    return rows.select(*[F.col(f"`{c}`") for c in columns], site, own).mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], site, own).mapInArrow(tidy(run), schema)
 
 
 def _clean(site, text, keys):
@@ -129,7 +129,7 @@ def _with_keys(docs: DataFrame, bad: DataFrame, site_col: str, text_col: str, sa
     site, text = F.col(f"`{site_col}`").cast("string"), F.col(f"`{text_col}`")
     number = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(salts)).cast("string")
     docs = docs.withColumn(doc, F.concat_ws(":", F.xxhash64(site, text), F.md5(F.coalesce(text, F.lit(""))), number))  # equal texts of a site lose equal lines
-    lines = docs.select(doc, site, text).mapInArrow(keys, "doc string, key binary").distinct()
+    lines = docs.select(doc, site, text).mapInArrow(tidy(keys), "doc string, key binary").distinct()
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)))
     spread = bad.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     found = lines.join(spread, ["key", "salt"]).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("key").alias(own))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialise, table, whole_text
+from .common import forget, materialise, table, tidy, whole_text
 
 _FLUSH = 200_000
 
@@ -236,7 +236,7 @@ def fit(cells: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, conce
                 t = seat(c, base, strength, discount, Keyed(np.ascontiguousarray(key(x)), sweep))
                 yield pa.RecordBatch.from_arrays([pa.array(t) if f == out else batch.column(f) for f in batch.schema.names], batch.schema.names)
 
-        return run
+        return tidy(run)
 
     def kind(df):
         return ", ".join(f"{c} {k}" for c, k in df.dtypes)
@@ -291,7 +291,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     discount, concentration = 0.7, 5.0
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), whole_text(text_col).cast("binary").alias("t"))
-    cells = rows.select("held", "t").mapInArrow(_count_cells, "u long, w long, n long, other long")
+    cells = rows.select("held", "t").mapInArrow(tidy(_count_cells), "u long, w long, n long, other long")
     cells = materialise(cells.groupBy("u", "w").agg(F.sum("n").alias("n"), F.sum("other").alias("other")), "cells")
     one = F.when(F.col("n") == 1, 1).otherwise(0)
     none = F.lit(0).cast("long")
@@ -333,7 +333,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
                     ["row", "id", "held", "n_tokens", "k", "b", "s", "rare"])
                 key += texts
 
-    scored = materialise(rows.mapInArrow(run, f"row long, id {kind}, held boolean, n_tokens long, k long, b double, s double, rare array<bigint>"), "scored")
+    scored = materialise(rows.mapInArrow(tidy(run), f"row long, id {kind}, held boolean, n_tokens long, k long, b double, s double, rare array<bigint>"), "scored")
     rare, pairs, sums = found.where(F.col("m") * lexicon <= every).drop("m"), scored.select("row", F.explode("rare").alias("h")), None
     for part in range(slices):  # one after the other, as their shuffles are deleted in between
         own = F.pmod(F.col("h"), F.lit(slices)) == part

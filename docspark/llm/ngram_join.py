@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialise, salts_for, table, whole_text, without
+from .common import forget, materialise, salts_for, table, tidy, whole_text, without
 from .graph import connected_components
 
 _FLUSH = 400_000
@@ -62,6 +62,10 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
+def _clear() -> None:
+    _hashes.clear()
+
+
 def ngram_set(text: bytes, n: int) -> np.ndarray:
     """Sorted hashes of the distinct n-grams; with fewer words, of the whole sequence; empty without words."""
     words = text.lower().split()  # of bytes: A-Z and the six white-space characters only
@@ -123,7 +127,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: in
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), part.column("n"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "n", "x"]).filter(ok)
 
-    return rows.select("node", "n", "cls", "t").mapInArrow(run, "node long, n long, x array<bigint>").dropDuplicates(["node"])
+    return rows.select("node", "n", "cls", "t").mapInArrow(tidy(run, _clear), "node long, n long, x array<bigint>").dropDuplicates(["node"])
 
 
 def _enough(overlap, sizes, percent: int):
@@ -255,7 +259,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, h (hash of the text), n, group (a number of the component), component_id."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("h"), whole_text(text_col).cast("binary").alias("t"))
-    sets = materialise(rows.mapInArrow(_sets(n, percent), f"id {kind}, h long, n long, cls binary, node long, some array<bigint>"), "sets")
+    sets = materialise(rows.mapInArrow(tidy(_sets(n, percent), _clear), f"id {kind}, h long, n long, cls binary, node long, some array<bigint>"), "sets")
 
     # classes of equal sets; reduced within salts, so that no class's rows meet in one task
     light = sets.select("id", "h", "n", "cls", "node", F.pmod(F.xxhash64("id", "h"), F.lit(salts_for(sets.count()))).alias("salt"))

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_encode import byte_chars
-from .common import materialise, table
+from .common import materialise, table, tidy
 
 #: Distinct chunks of text whose ids a worker keeps; beyond that it starts anew.
 _CACHE = 400_000
@@ -101,6 +101,18 @@ _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 _tokenizers: dict[str, ByteBpe] = {}
 
 
+def _tokenizer(vocabulary: str) -> ByteBpe:
+    """One for each worker process."""
+    if vocabulary not in _tokenizers:
+        _tokenizers[vocabulary] = ByteBpe(vocabulary)
+    return _tokenizers[vocabulary]
+
+
+def _clear() -> None:
+    for bpe in _tokenizers.values():
+        bpe._reset()
+
+
 def tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, source_col: str, seq_len: int, end_id: int) -> DataFrame:
     """Chunks of ids: part, n (place in its part), id, source, start, length, doc_tokens, before (tokens of the source
     in earlier chunks of the part), ids (little-endian, two bytes where the vocabulary allows)."""
@@ -110,9 +122,7 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, sourc
     def run(batches):
         from pyspark import TaskContext
 
-        if vocabulary not in _tokenizers:
-            _tokenizers[vocabulary] = ByteBpe(vocabulary)
-        bpe, part, n, sent = _tokenizers[vocabulary], TaskContext.get().partitionId(), 0, {}
+        bpe, part, n, sent = _tokenizer(vocabulary), TaskContext.get().partitionId(), 0, {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 rows = batch.slice(lo, 256)
@@ -135,7 +145,7 @@ def tokenise(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, sourc
     small = max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"]), end_id]) < 1 << 16
     kind = dict(docs.dtypes)[id_col]
     schema = f"part int, n long, id {kind}, source string, start long, length int, doc_tokens long, before long, ids binary"
-    rows = docs.select(F.col(id_col), F.col(source_col).cast("string"), F.col(text_col)).mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col), F.col(source_col).cast("string"), F.col(text_col)).mapInArrow(tidy(run, _clear), schema)
     return rows.withColumn("wide", F.lit(not small))
 
 
@@ -211,7 +221,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = chunks.select("part", "n", "id", "source", "start", "doc_tokens", "ids", "wide").join(placed, ["part", "n"])
-    return rows.drop("part", "n").mapInArrow(cut, schema).withColumnRenamed("id", id_col)
+    return rows.drop("part", "n").mapInArrow(tidy(cut), schema).withColumnRenamed("id", id_col)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, whole_text, without
+from .common import materialise, table, tidy, whole_text, without
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGITS = b"0123456789"
@@ -57,7 +57,7 @@ def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.list_(pa.float32()))], ["id", "h", "x"])
 
     text = whole_text(text_col)
-    return docs.select(id_col, F.xxhash64(text).alias("h"), text).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, h long, x array<float>")
+    return docs.select(id_col, F.xxhash64(text).alias("h"), text).mapInArrow(tidy(run), f"id {dict(docs.dtypes)[id_col]}, h long, x array<float>")
 
 
 class Model:
@@ -147,7 +147,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, posit
             flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), batch.column("held_out"), pa.array(model.score(flat.astype(float)))], ["id", "h", "held_out", "score"])
 
-    return x.mapInArrow(run, f"id {dict(x.dtypes)['id']}, h long, held_out boolean, score double")
+    return x.mapInArrow(tidy(run), f"id {dict(x.dtypes)['id']}, h long, held_out boolean, score double")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
