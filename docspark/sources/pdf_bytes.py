@@ -1,65 +1,249 @@
-"""Revisions of a file from its bytes: end markers, and the objects a cross-reference section writes."""
+"""Revisions of a file from its bytes: end markers, pointers, the objects that an increment writes, load tests."""
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_EOF = re.compile(rb"%%EOF\r?\n?")
-_START = re.compile(rb"startxref\s+(\d+)\s+$")
-_XREF = re.compile(rb"xref\s+")
-_SECTION = re.compile(rb"(\d+)[ \t]+(\d+)\s+")
-_ENTRY = re.compile(rb"(\d{10}) (\d{5}) ([nf])\s{0,2}")
+#: What the scan looks for, in one pass over the bytes.
+_MARK = re.compile(rb"(?P<eof>%%EOF)(?:\r\n|\r|\n)?|(?P<start>startxref)\s+(\d+)|(?P<prev>/Prev)\s+(\d+)")
+_TAIL = re.compile(rb"startxref\s+(\d+)\s*\Z")
+_WINDOW = 128  # bytes before an end marker in which its startxref must lie
+_START, _STREAM = re.compile(rb"startxref\s+(\d+)"), re.compile(rb"/XRefStm\s+(\d+)")
+_XREF = re.compile(rb"[ \t]*xref\b[ \t]*(?:\r\n|\r|\n)?")
+_LINE = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n|\Z)")
+_SECTION = re.compile(rb"(\d+)[ \t]+(\d+)\Z")
+_ENTRY = re.compile(rb"(\d{10})[ \t]+(\d{5})[ \t]+([nf])")
+_OBJECT = re.compile(rb"[ \t\r\n]*(\d+)[ \t]+(\d+)[ \t]+obj\b")
+_BODY = re.compile(rb"\bstream\r?\n")
 
 
-def markers(content: bytes) -> list[tuple[int, int, int, bool]]:
-    """Number, offset, end and validity of each end marker; valid if a startxref before it points into the file."""
-    out = []
-    for i, m in enumerate(_EOF.finditer(content)):
-        tail = _START.search(content[max(0, m.start() - 64) : m.start()])
-        out.append((i, m.start(), m.end(), bool(tail) and int(tail[1]) < m.start()))
-    return out
+# -- cross-reference sections -------------------------------------------------------------------------------------
+
+def classic_table(content: bytes, at: int) -> set[tuple[int, int]]:
+    """Number and generation of the objects in use of the table at an offset, up to its trailer or what is no header."""
+    found: set[tuple[int, int]] = set()
+    head = _XREF.match(content, at)
+    if not head:
+        return found
+    at, left = head.end(), 0  # left: entries that the last header still announces
+    while at < len(content):
+        line = _LINE.match(content, at)
+        at, line = line.end(), line[0].strip()
+        if b"trailer" in line:
+            break
+        if left:
+            if (e := _ENTRY.match(line)) and e[3] == b"n":
+                found.add((number, int(e[2])))
+            number, left = number + 1, left - 1
+        elif line:
+            if not (h := _SECTION.match(line)):
+                break
+            number, left = int(h[1]), int(h[2])
+    return found
+
+
+def _entry(head: bytes, name: bytes) -> list[int] | None:
+    m = re.search(rb"/" + name + rb"\s*(?:\[([\d\s]*)\]|(\d+))", head)
+    return [int(x) for x in (m[1] if m[1] is not None else m[2]).split()] if m else None
+
+
+def _unpredicted(data: bytes, width: int) -> bytes:
+    """Rows of PNG filters, one byte a sample, undone."""
+    out, above = bytearray(), bytearray(width)
+    for lo in range(0, len(data) - width, width + 1):
+        kind, row = data[lo], bytearray(data[lo + 1 : lo + 1 + width])
+        for i in range(width):
+            a, b, c = (row[i - 1] if i else 0), above[i], (above[i - 1] if i else 0)
+            if kind == 4:
+                p = a + b - c
+                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            else:
+                near = (0, a, b, (a + b) // 2)[kind] if kind < 4 else 0
+            row[i] = (row[i] + near) & 255
+        out += row
+        above = row
+    return bytes(out)
+
+
+def stream_records(data: bytes, widths: list[int], index: list[int]) -> set[tuple[int, int]]:
+    """Objects of a decoded cross-reference stream: records in use, and those within object streams as generation 0."""
+    found, at, size = set(), 0, sum(widths)
+    if size <= 0:
+        return found
+    for first, n in zip(index[::2], index[1::2]):
+        for number in range(first, first + n):
+            record = data[at : at + size]
+            if len(record) < size:
+                return found
+            at, place, field = at + size, 0, []
+            for w in widths:
+                field.append(int.from_bytes(record[place : place + w], "big") if w else None)
+                place += w
+            kind = 1 if field[0] is None else field[0]
+            if kind in (1, 2):
+                found.add((number, (field[2] or 0) if kind == 1 and len(field) > 2 else 0))
+    return found
+
+
+def stream_section(content: bytes, at: int, end: int) -> set[tuple[int, int]]:
+    """Objects of the cross-reference stream whose object starts at an offset, itself included; none if it is malformed,
+    is filtered by anything but Flate, or is no such stream."""
+    head = _OBJECT.match(content, at, end)
+    body = head and _BODY.search(content, head.end(), end)
+    if not body:
+        return set()
+    entries = content[head.end() : body.start()]
+    widths, size = _entry(entries, b"W"), _entry(entries, b"Size") or [0]
+    index = _entry(entries, b"Index") or [0, size[0]]
+    if not widths or not re.search(rb"/Type\s*/XRef\b", entries):
+        return set()
+    stop = content.find(b"endstream", body.end(), end)
+    data = content[body.end() : stop if stop >= 0 else end]
+    records, columns = sum(index[1::2]), (_entry(entries, b"Columns") or [1])[0]
+    predicted = (_entry(entries, b"Predictor") or [1])[0] >= 10
+    most = min(records, 1 << 24) * (sum(widths) + 1) + 1  # what its records can take
+    if filters := re.search(rb"/Filter\s*\[?\s*/(\w+)", entries):
+        if filters[1] != b"FlateDecode":
+            return set()
+        try:
+            data = zlib.decompressobj().decompress(data, max(1, most))
+        except zlib.error:
+            return set()
+    if predicted:
+        data = _unpredicted(data, columns)
+    return stream_records(data, widths, index) | {(int(head[1]), int(head[2]))}
+
+
+def section(content: bytes, at: int, end: int) -> set[tuple[int, int]]:
+    return classic_table(content[:end], at) if _XREF.match(content, at) else stream_section(content, at, end)
 
 
 def written(content: bytes, start: int, end: int) -> list[tuple[int, int]]:
-    """Number and generation of the objects that classic cross-reference tables within a range of bytes write."""
+    """Number and generation of the objects that the increment of bytes [start, end) writes: those of the section that
+    its last startxref names and of the stream that its last /XRefStm names, each if it lies in the increment."""
     found = set()
-    for x in _XREF.finditer(content, start, end):
-        if x.start() >= 5 and content[x.start() - 5 : x.start()] == b"start":
-            continue
-        at = x.end()
-        while m := _SECTION.match(content, at, end):
-            first, n, at = int(m[1]), int(m[2]), m.end()
-            for k in range(n):
-                if not (e := _ENTRY.match(content, at, end)):
-                    break
-                if e[3] == b"n":
-                    found.add((first + k, int(e[2])))
-                at = e.end()
+    if 0 <= start < end <= len(content):
+        for pattern in (_START, _STREAM):
+            at = -1
+            for m in pattern.finditer(content, start, end):
+                at = int(m[1])
+            if start <= at < end:
+                found |= section(content, at, end)
     return sorted(found)
 
 
+# -- boundaries ---------------------------------------------------------------------------------------------------
+
+def marks(content: bytes) -> Iterator[tuple[str, int, int, int | None, bool | None]]:
+    """Kind (eof, start or prev), offset, end, pointer and, of an end marker, whether a startxref ends right before it."""
+    last = 0
+    for m in _MARK.finditer(content):
+        if m["eof"]:
+            tail = content[max(last, m.start() - _WINDOW) : m.start()]
+            yield "eof", m.start(), m.end(), None, bool(_TAIL.search(tail))
+            last = m.end()
+        else:
+            yield ("start", m.start(), m.end(), int(m[3]), None) if m["start"] else ("prev", m.start(), m.end(), int(m[5]), None)
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """path, kind, off, end_off, pointer, clean: a row for each mark. files: path, content. Pointers are texts of digits."""
+    def run(parts):
+        for part in parts:
+            for path, content in zip(part["path"], part["content"]):
+                rows = [(path, k, a, b, None if p is None else str(p), c) for k, a, b, p, c in marks(bytes(content or b""))]
+                yield pd.DataFrame(rows, columns=["path", "kind", "off", "end_off", "pointer", "clean"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, kind string, off long, end_off long, pointer string, clean boolean")
+
+
+def boundaries(found: DataFrame) -> DataFrame:
+    """path, idx, off, end_off, from_off, startxref, prev, valid: a row per end marker, with the last startxref and the
+    last /Prev since the one before. found: rows of ``scan``."""
+    before = W.partitionBy("path").orderBy("off").rowsBetween(W.unboundedPreceding, -1)
+    own = found.withColumn("idx", F.coalesce(F.sum(F.when(F.col("kind") == "eof", 1).otherwise(0)).over(before), F.lit(0)).cast("int"))
+    eof = F.col("kind") == "eof"
+    last = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("pointer")), F.when(F.col("kind") == kind, F.col("off")))
+    rows = own.groupBy("path", "idx").agg(
+        *[F.max(F.when(eof, F.col(c))).alias(c) for c in ("off", "end_off")], last("start").alias("startxref"), last("prev").alias("prev"), F.bool_or(F.when(eof, F.col("clean"))).alias("valid"))
+    rows = rows.where(F.col("off").isNotNull())
+    return rows.withColumn("from_off", F.coalesce(F.lag("end_off").over(W.partitionBy("path").orderBy("idx")), F.lit(0).cast("long")))
+
+
+def detected(files: DataFrame, bounds: DataFrame) -> DataFrame:
+    """path, size, valid, invalid, notes: one row per file, also for those that are empty or have no end marker."""
+    n = bounds.groupBy("path").agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
+    head = F.ltrim(F.decode("content", "ISO-8859-1"), F.lit(" \t\n\x0b\f\r"))
+    heads = files.select("path", F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"), F.coalesce(F.substring(head, 1, 5) == "%PDF-", F.lit(False)).alias("headed"))
+    v, i, full = F.coalesce("valid", F.lit(0)), F.coalesce("invalid", F.lit(0)), F.col("size") > 0
+
+    def note(when: Column, *text: str | Column) -> Column:
+        return F.when(when, F.concat(*[F.lit(t) if isinstance(t, str) else t.cast("string") for t in text]))
+
+    notes = F.array_compact(F.array(
+        note(~full, "empty file"), note(full & ~F.col("headed"), "no %PDF- header at the start"), note(full & (v + i == 0), "no end marker, so no revisions"),
+        note((v == 0) & (i > 0), "no end marker closes a revision"), note(v == 1, "one revision: this method alone is inconclusive"),
+        note(v > 1, v, " revisions before load tests"), note(i > 0, i, " end markers inside streams")))
+    return heads.join(n, "path", "left").select("path", "size", v.alias("valid"), i.alias("invalid"), notes.alias("notes"))
+
+
 def revisions(files: DataFrame) -> DataFrame:
     """path, idx, off, end_off, valid, objects: one row per end marker; objects are those written since the last one.
-    files: path, content."""
+    files: path, content. A file's bytes are read once, in its own task."""
     def run(parts):
         for part in parts:
-            rows = []
             for path, content in zip(part["path"], part["content"]):
-                last = 0
-                for idx, off, end, valid in markers(bytes(content)):
-                    rows.append((path, idx, off, end, valid, [f"{o} {g}" for o, g in written(bytes(content), last, end)]))
+                rows, last, content = [], 0, bytes(content or b"")
+                ends = [(a, b, clean) for kind, a, b, _, clean in marks(content) if kind == "eof"]
+                for idx, (off, end, clean) in enumerate(ends):
+                    rows.append((path, idx, off, end, clean, [f"{o} {g}" for o, g in written(content, last, end)]))
                     last = end
-            yield pd.DataFrame(rows, columns=["path", "idx", "off", "end_off", "valid", "objects"])
+                yield pd.DataFrame(rows, columns=["path", "idx", "off", "end_off", "valid", "objects"])
 
     return files.select("path", "content").mapInPandas(run, "path string, idx int, off long, end_off long, valid boolean, objects array<string>")
 
 
 def consecutive(found: DataFrame) -> DataFrame:
     """Valid revisions with the end of the one before."""
-    from pyspark.sql import Window as W
-
     return found.where("valid").withColumn("from_off", F.lag("end_off").over(W.partitionBy("path").orderBy("idx")))
+
+
+# -- load tests ---------------------------------------------------------------------------------------------------
+
+def unloadable(content: bytes) -> str | None:
+    """Why a file cut at an end marker cannot be loaded, by its structure: its last startxref must name a section with
+    objects, and it must not be encrypted. It isn't parsed further, nor repaired as a viewer would try."""
+    named = [int(m[1]) for m in _START.finditer(content)]
+    if not named or named[-1] >= len(content):
+        return "unloadable: no section at the last startxref"
+    if not section(content, named[-1], len(content)):
+        return "unloadable: the section at the last startxref has no objects"
+    start = _XREF.match(content, named[-1])
+    trailer = content.find(b"trailer", named[-1]) if start else named[-1]
+    stop = content.find(b"startxref", trailer) if start else (m.start() if (m := _BODY.search(content, trailer)) else -1)
+    return "encrypted: a password is needed" if trailer >= 0 and b"/Encrypt" in content[trailer : stop if stop >= 0 else len(content)] else None
+
+
+def reconstructed(files: DataFrame, bounds: DataFrame) -> DataFrame:
+    """path, boundary, truncate_len, reason, idx: each valid boundary, tested on the bytes up to it. Those that load
+    (no reason) are numbered anew from 0; those that don't are kept with their reason and no number. bounds: path, idx,
+    end_off, valid; a file's boundaries travel as one short list, so its bytes move once."""
+    cuts = bounds.where("valid").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", "end_off"))).alias("cuts"))
+
+    def run(parts):
+        for part in parts:
+            for path, content, cut in zip(part["path"], part["content"], part["cuts"]):
+                content = bytes(content)
+                rows = [(path, c["idx"], c["end_off"], unloadable(content[: c["end_off"]])) for c in cut]
+                yield pd.DataFrame(rows, columns=["path", "boundary", "truncate_len", "reason"])
+
+    tested = files.select("path", "content").join(cuts, "path").mapInPandas(run, "path string, boundary int, truncate_len long, reason string")
+    good = F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(W.partitionBy("path").orderBy("boundary")) - 1
+    return tested.withColumn("idx", F.when(F.col("reason").isNull(), good).cast("int"))

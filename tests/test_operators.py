@@ -2,19 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.operators import detectors, invoices, spatial
-from docspark.sources import pdf_bytes, scans
-
-PDF = (b"%PDF\n1 0 obj\nxref\n0 2\n0000000000 65535 f \n0000000009 00000 n \ntrailer\nstartxref\n12\n%%EOF\n"
-       b"2 0 obj\nxref\n2 1\n0000000100 00001 n \ntrailer\nstartxref\n90\n%%EOF\n")
-
-
-def test_revisions(spark):
-    df = spark.createDataFrame([("a", bytearray(PDF)), ("b", bytearray(b"nothing"))], "path string, content binary")
-    got = pdf_bytes.revisions(df).orderBy("idx").collect()
-    assert [(r.path, r.idx, r.valid, r.objects) for r in got] == [("a", 0, True, ["1 0"]), ("a", 1, True, ["2 1"])]
-    assert got[1].end_off == len(PDF)
-    assert [r.from_off for r in pdf_bytes.consecutive(pdf_bytes.revisions(df)).orderBy("idx").collect()] == [None, got[0].end_off]
-
+from docspark.sources import scans
+from tests.test_bytes import PDF
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.PDF").write_bytes(PDF)
