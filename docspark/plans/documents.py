@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docspark.functions import geometry, text
 from docspark.operators import detectors, findings, fonts, guards, invoices, layout, matching, objects, versions
 from docspark.plans.queries import _FOLD_SQL, _KIND_SQL, query
+from docspark.sources import pdf_bytes, scans
 from docspark.sources.scans import table
 
 _SPLIT_SQL = r"list_filter(string_split_regex({}, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
@@ -278,6 +279,65 @@ def rev_findings(spark, d):
     return objects.revision_findings(texts, changes, ["l_orderkey"]).withColumn("objects", F.array_join("objects", ","))
 
 
+# -- bytes --------------------------------------------------------------------------------------------------------
+
+#: Texts as files: perhaps a header, the text, up to three closed increments, perhaps an end marker inside a stream.
+_FILES_SQL = "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN 9 ELSE 0 END + strlen(coalesce(text, '')) + 1 AS h, doc_id % 4 AS k, doc_id % 3 = 0 AS fake FROM documents"
+_CLOSED = 29  # bytes of a closed increment
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.when(i % 5 > 0, "%PDF-1.4\n").otherwise(""), F.coalesce("text", F.lit("")), F.lit("\n")).alias("t"))
+    closed = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda n: F.when(n < i % 4, F.concat(F.lit("/Prev "), (n + 17).cast("string"), F.lit("\nstartxref "), (n + 101).cast("string"), F.lit("\n%%EOF\n"))).otherwise(""))
+    content = F.concat("t", F.array_join(closed, ""), F.when(i % 3 == 0, "q %%EOF\n").otherwise(""))
+    return rows.select("doc_id", i.cast("string").alias("path"), content.cast("binary").alias("content"))
+
+
+@query(f"""SELECT doc_id, h + {_CLOSED} * k + CASE WHEN fake THEN 8 ELSE 0 END AS size, k AS valid, fake::INT::BIGINT AS invalid, 1 + (doc_id % 5 = 0)::INT + (k > 0 AND fake)::INT + (k = 0 AND fake)::INT::BIGINT AS notes FROM ({_FILES_SQL})""")
+def rev_detect(spark, d):
+    f = _files(spark, d)
+    got = pdf_bytes.detected(f, pdf_bytes.boundaries(pdf_bytes.scan(f)))
+    return got.select(F.col("path").cast("long").alias("doc_id"), F.col("size").cast("long").alias("size"), "valid", "invalid", F.size("notes").cast("long").alias("notes"))
+
+
+@query(f"""
+SELECT doc_id, n AS idx, h + {_CLOSED} * n + 23 AS off, h + {_CLOSED} * (n + 1) AS end_off, CASE WHEN n = 0 THEN 0 ELSE h + {_CLOSED} * n END AS from_off, (101 + n)::VARCHAR AS startxref, (17 + n)::VARCHAR AS prev, TRUE AS valid
+FROM (SELECT *, unnest(range(k)) AS n FROM ({_FILES_SQL}))
+UNION ALL SELECT doc_id, k, h + {_CLOSED} * k + 2, h + {_CLOSED} * k + 8, CASE WHEN k = 0 THEN 0 ELSE h + {_CLOSED} * k END, NULL, NULL, FALSE FROM ({_FILES_SQL}) WHERE fake""")
+def rev_pointers(spark, d):
+    got = pdf_bytes.boundaries(pdf_bytes.scan(_files(spark, d)))
+    return got.select(F.col("path").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), "off", "end_off", "from_off", "startxref", "prev", "valid")
+
+
+def _tables(spark, d):
+    """Texts as files with one classic table each; a quarter of their pointers lie beside it."""
+    i, t = F.col("doc_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    n = (i % 50).cast("string")
+    at = (F.octet_length(t) + F.when(i % 4 == 0, 1).otherwise(0)).cast("string")
+    content = F.concat(t, F.lit("xref\n"), n, F.lit(" 2\n0000000009 00000 n \n0000000020 00003 n \ntrailer\nstartxref "), at, F.lit("\n%%EOF\n"))
+    return table(spark, d, "documents").select(i.cast("string").alias("path"), content.cast("binary").alias("content"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE (doc_id % 50) || ' 0,' || (doc_id % 50 + 1) || ' 3' END AS objects FROM documents")
+def rev_objects(spark, d):
+    return pdf_bytes.revisions(_tables(spark, d)).select(F.col("path").cast("long").alias("doc_id"), F.array_join("objects", ",").alias("objects"))
+
+
+@query(r"""
+SELECT doc_id, h + strlen((doc_id % 50)::VARCHAR) + strlen((h + (doc_id % 4 = 0)::INT)::VARCHAR) + strlen('xref. 2.' || repeat('0000000009 00000 n .', 2) || 'trailer.startxref .%%EOF.') AS truncate_len, doc_id % 4 = 0 AS failed,
+  CASE WHEN doc_id % 4 > 0 THEN 0::BIGINT END AS idx FROM (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS h FROM documents)""")
+def rev_reconstruct(spark, d):
+    f = _tables(spark, d)
+    got = pdf_bytes.reconstructed(f, pdf_bytes.boundaries(pdf_bytes.scan(f)))
+    return got.select(F.col("path").cast("long").alias("doc_id"), "truncate_len", F.col("reason").isNotNull().alias("failed"), F.col("idx").cast("long").alias("idx"))
+
+
+@query("""SELECT stage, FALSE AS ok, 'inconclusive' AS tier, NULL::INT AS score, 'file not found' AS error FROM (VALUES ('fonts'), ('revisions')) AS s(stage)""")
+def scan_failed(spark, d):
+    return scans.stage_rows(scans.requested(spark, [f"{d}/no such file.pdf"]), ["fonts", "revisions"])[1].drop("requested")
+
+
 # -- findings -----------------------------------------------------------------------------------------------------
 
 @query("""
