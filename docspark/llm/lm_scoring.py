@@ -29,6 +29,9 @@ _FLUSH = 200_000
 #: Bytes of text that are split into words at once; one text may be longer.
 _PART = 4 << 20
 
+#: Tokens whose cells are summed up before they are dealt.
+_TOKENS = 2_000_000
+
 
 def words_of(text: bytes) -> list[bytes]:
     """bytes.lower() and bytes.split() know A-Z and the six white-space characters only, as asked for."""
@@ -91,15 +94,164 @@ def _cell_key(u: Column, w: Column) -> Column:
     return F.shiftleft(u, 1).bitwiseXOR(F.shiftrightunsigned(u, 63)).bitwiseXOR(w)
 
 
-def _count_cells(batches):
-    hashes = Hashes()
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of eight-byte numbers, byte by byte of the numbers, compressed: most of them are small or nearly sorted."""
+    arrays = [np.ascontiguousarray(a) for a in arrays]
+    raw = b"".join(a.view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
+    head = np.array([len(arrays), *(len(a) for a in arrays), *(a.dtype == np.float64 for a in arrays)], np.int64)
+    return head.tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    count = int(np.frombuffer(blob, np.int64, 1)[0])
+    sizes, real = np.frombuffer(blob, np.int64, 2 * count, 8).reshape(2, count)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8 * (2 * count + 1) :], 8 * int(sizes.sum()), asbytes=True), np.uint8)
+    ends = 8 * np.concatenate([[0], np.cumsum(sizes)])
+    return [np.ascontiguousarray(raw[lo:hi].reshape(8, -1).T).reshape(-1).view(np.float64 if f else np.int64) for lo, hi, f in zip(ends, ends[1:], real)]
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=np.int64(0))  # wraps around, as the sum of steps does
+
+
+def owner(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts
+
+
+def dealt(of: np.ndarray, parts: int):
+    """Each part that has rows, and the places of its rows in their order."""
+    order = np.argsort(of.astype(np.uint16) if parts <= 1 << 16 else of, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=parts))])
+    for p in np.flatnonzero(np.diff(ends)):
+        yield int(p), order[ends[p] : ends[p + 1]]
+
+
+class Cells:
+    """Distinct cells, by context and word: places of both in a sorted list of words, and counts of training and other texts."""
+
+    def __init__(self, words: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, other: np.ndarray):
+        self.words, self.u, self.w, self.n, self.other = words, u, w, n, other
+
+    @staticmethod
+    def summed(words: np.ndarray, code: np.ndarray, n: np.ndarray, other: np.ndarray) -> Cells:
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        n, other = (np.add.reduceat(x[order], first) if len(first) else x for x in (n, other))
+        return Cells(words, code[first] // len(words) if len(first) else code, code[first] % len(words) if len(first) else code, n, other)
+
+    @staticmethod
+    def of_tokens(w: np.ndarray, held: np.ndarray) -> Cells:
+        words, at = np.unique(w, return_inverse=True)
+        code = np.concatenate([[np.searchsorted(words, END)], at[:-1]]) * len(words) + at
+        code, count = np.unique(code * 2 + held, return_counts=True)
+        return Cells.summed(words, code >> 1, np.where(code & 1, 0, count), np.where(code & 1, count, 0))
+
+    @staticmethod
+    def merged(blobs: list[bytes]) -> Cells:
+        found = [Cells.read(b) for b in blobs]
+        words = np.unique(np.concatenate([x.words for x in found]))
+        places = [np.searchsorted(words, x.words) for x in found]
+        code = np.concatenate([at[x.u] * len(words) + at[x.w] for x, at in zip(found, places)])
+        return Cells.summed(words, code, np.concatenate([x.n for x in found]), np.concatenate([x.other for x in found]))
+
+    @staticmethod
+    def read(blob: bytes) -> Cells:
+        words, u, w, n, other = unpack(blob)
+        return Cells(np.cumsum(words), np.cumsum(u), w, n, other)
+
+    def key(self) -> np.ndarray:
+        return cell_key(self.words[self.u], self.words[self.w])
+
+    def blob(self) -> bytes:
+        return pack(steps(self.words), steps(self.u), self.w, self.n, self.other)
+
+    def take(self, at: np.ndarray) -> Cells:
+        has = np.zeros(len(self.words), bool)
+        has[self.u[at]] = has[self.w[at]] = True
+        place = np.cumsum(has) - 1
+        return Cells(self.words[has], place[self.u[at]], place[self.w[at]], self.n[at], self.other[at])
+
+
+def flushes(batches, text: int):
+    """Parts of the batches until they have ``_TOKENS`` tokens: the parts, their tokens and ends, and each one's row."""
+    hashes, held = Hashes(), []
     for batch in batches:
-        for part in parts(batch, 1):
-            u, w, doc = cells_of(part.column(1).to_pylist(), hashes)
-            held = part.column(0).to_numpy(zero_copy_only=False).astype(bool)[doc]
-            _, first, at = np.unique(cell_key(u, w), return_index=True, return_inverse=True)
-            n, other = (np.bincount(at, x, len(first)).astype(np.int64) for x in (~held, held))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[first], w[first], n, other)], ["u", "w", "n", "other"])
+        for part in parts(batch, text):
+            held.append((part, *cells_of(part.column(text).to_pylist(), hashes)[1:]))
+            if sum(len(x[1]) for x in held) >= _TOKENS:
+                yield _together(held)
+                held = []
+    if held:
+        yield _together(held)
+
+
+def _together(held: list) -> tuple[list, np.ndarray, np.ndarray]:
+    rows = np.cumsum([0, *(x[0].num_rows for x in held)])
+    return [x[0] for x in held], np.concatenate([x[1] for x in held]), np.concatenate([x[2] + r for x, r in zip(held, rows)])
+
+
+def _rows(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
+
+
+def _blobs(found: list, names=("p", "blob"), types=(pa.int64(), pa.binary())) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(types)], list(names))
+
+
+def by(df: DataFrame, key: str, run, schema: str) -> DataFrame:
+    """run of the table of each key, whose freed memory goes back to the system."""
+    return df.groupBy(key).applyInArrow(lambda table: next(iter(list(tidy(lambda t: iter([run(t)]))(table)))), schema)
+
+
+def count_cells(rows: DataFrame, parts: int) -> DataFrame:
+    """A row for each of the parts that cells are dealt to: p and blob, its cells. rows: held, t."""
+
+    def count(batches):
+        for found, w, doc in flushes(batches, 1):
+            held = np.concatenate([x.column(0).to_numpy(zero_copy_only=False).astype(bool) for x in found])[doc]
+            cells = Cells.of_tokens(w, held)
+            yield from _blobs([(p, cells.take(at).blob()) for p, at in dealt(owner(cells.key(), parts), parts)]).to_batches()
+
+    def merge(table):
+        return _blobs([(table["p"][0].as_py(), Cells.merged(table["blob"].to_pylist()).blob())])
+
+    return materialise(by(rows.mapInArrow(tidy(count), "p long, blob binary"), "p", merge, "p long, blob binary"), "cells")
+
+
+def cell_rows(cells: DataFrame, which) -> DataFrame:
+    """u, w, n and other of those cells that which(cells) finds."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                x = Cells.read(blob)
+                at = np.flatnonzero(which(x))
+                yield _rows(["u", "w", "n", "other"], x.words[x.u[at]], x.words[x.w[at]], x.n[at], x.other[at])
+
+    return cells.mapInArrow(tidy(run), "u long, w long, n long, other long")
+
+
+def count_words(cells: DataFrame, parts: int) -> DataFrame:
+    """h, n, m, u1, w1 and met (is in a cell of several customers) of each word; see fit."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                x = Cells.read(blob)
+                size, once, met = len(x.words), x.n == 1, np.zeros(len(x.words), np.int64)
+                met[x.u[x.n > 1]] = met[x.w[x.n > 1]] = 1
+                sums = [np.bincount(x.w, x.n, size), np.bincount(x.w, x.n + x.other, size), np.bincount(x.u[once], minlength=size), np.bincount(x.w[once], minlength=size)]
+                sums = [s.astype(np.int64) for s in sums] + [met]
+                yield from _blobs([(p, pack(steps(x.words[at]), *(s[at] for s in sums))) for p, at in dealt(owner(x.words, parts), parts)]).to_batches()
+
+    def add(table):
+        found = [unpack(b) for b in table["blob"].to_pylist()]
+        words, at = np.unique(np.concatenate([np.cumsum(x[0]) for x in found]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([x[i] for x in found]), len(words)).astype(np.int64) for i in range(1, 6)]
+        return pa.table([words, *sums[:4], sums[4] > 0], ["h", "n", "m", "u1", "w1", "met"])
+
+    return by(cells.mapInArrow(tidy(run), "p long, blob binary"), "p", add, "h long, n long, m long, u1 long, w1 long, met boolean")
 
 
 # -- model ------------------------------------------------------------------------------------------------------
@@ -208,16 +360,16 @@ class WordModel:
         return np.log10((np.maximum(c - self.discount * np.where(c > 0, t, 0), 0) + self.new * self.base) / self.size)
 
 
-def fit(cells: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, concentration=5.0, warm=2, sweeps=4) -> tuple[DataFrame, DataFrame]:
-    """The model of ``ContextModel`` over all cells. cells: u, w, n, other; vocabulary: h, n, m, u1, w1 (customers, all
-    tokens, cells of one customer that have h as context, as word). Returns the cells with ``t``, and h, n, m, tables and
-    root: means over the sweeps. A word's tables and root are those of its context and of its dish.
+def fit(again: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, concentration=5.0, warm=2, sweeps=4) -> tuple[DataFrame, DataFrame]:
+    """The model of ``ContextModel`` over all cells. again: u, w, n, other of the cells of several customers; vocabulary:
+    h, n, m, u1, w1 (customers, all tokens, cells of one customer that have h as context, as word), met (is in one of
+    several). Returns ``again`` with ``t``, and h, n, m, tables and root: means over the sweeps. A word's tables and root
+    are those of its context and of its dish.
 
     Words in no cell of several customers whose dish has at most one customer in the parent keep their tables in every
     sweep; they count in the parent's sums, and their root follows from that customer."""
-    again = cells.where("n > 1").select("*", F.lit(1.0).alias("t"), F.lit(0.0).alias("t_sum"))
-    met = again.select(F.explode(F.array("u", "w")).alias("h")).distinct().withColumn("met", F.lit(True))
-    vocabulary = materialise(vocabulary.join(met, "h", "left").withColumn("moves", F.coalesce("met", F.lit(False)) | (F.col("w1") > 1)).drop("met"), "moves")
+    again = again.select("*", F.lit(1.0).alias("t"), F.lit(0.0).alias("t_sum"))
+    vocabulary = vocabulary.withColumn("moves", F.col("met") | (F.col("w1") > 1)).drop("met")
     still = vocabulary.where("not moves")
     alone = float(still.agg(F.sum("w1")).first()[0] or 0)  # customers and tables of the parent
     words = vocabulary.where("moves").select("h", "n", "m", "u1", "w1", F.lit(0.0).alias("tables_sum"), F.lit(0.0).alias("root_sum"))
@@ -265,88 +417,174 @@ def fit(cells: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, conce
     words = sums().select("h", "n", "m", ((F.col("tables_sum") + F.col("s")) / sweeps).alias("tables"), (F.col("root_sum") / sweeps).alias("root"))
     words = words.unionByName(still.select("h", "n", "m", F.col("u1").cast("double").alias("tables"), (F.when(F.col("w1") > 0, still_root[1]).otherwise(still_root[0]) / sweeps).alias("root")))
     words = materialise(words, "words")
-    forget(root_table, vocabulary)
-    cells = cells.where("n <= 1").select("*", F.col("n").cast("double").alias("t")).unionByName(again.select("u", "w", "n", "other", (F.col("t_sum") / sweeps).alias("t")))
-    return cells, words
+    forget(root_table)
+    return again.select("u", "w", "n", "other", (F.col("t_sum") / sweeps).alias("t")), words
 
 
 # -- scoring ----------------------------------------------------------------------------------------------------
 
-def _with(cells: DataFrame, words: DataFrame, side: str, lexicon: int, every: int) -> DataFrame:
-    """cells with what words tell of their ``side``. Words that make up more than a 1/lexicon share of all tokens, fewer
-    than lexicon, are broadcast; only cells of the others are shuffled, and none of those words can be frequent."""
-    often = F.col("m") * lexicon > every
-    hot = cells.join(F.broadcast(words.where(often).drop("m")), side, "left")
-    told = next(c for c in words.columns if c not in (side, "m"))
-    return hot.where(F.col(told).isNotNull()).unionByName(hot.where(F.col(told).isNull()).select(cells.columns).join(words.where(~often).drop("m"), side))
+_DEALT = "p long, kind long, part long, blob binary"
+_CELLS, _TABLES, _TOLD, _ASKED, _BASE = range(5)
+
+
+def _dealt(found: list) -> pa.Table:
+    return _blobs(found, ("p", "kind", "part", "blob"), (pa.int64(),) * 3 + (pa.binary(),))
+
+
+def gathered(rows: DataFrame, parts: int, key, kind: int) -> DataFrame:
+    """The columns of rows as blobs, dealt by the owner of a row's key."""
+
+    def run(batches):
+        from itertools import chain
 
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                size += batch.num_rows
+            if size and (batch is None or size >= _TOKENS):
+                x = [np.concatenate(c) for c in zip(*held)]
+                yield from _dealt([(p, kind, -1, pack(*(c[at] for c in x))) for p, at in dealt(owner(key(x), parts), parts)]).to_batches()
+                held, size = [], 0
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 510, lexicon: int = 1 << 20, slices: int = 4) -> DataFrame:
+    return rows.mapInArrow(tidy(run), _DEALT)
+
+
+def tell_words(cells: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+    """For each part of the cells, from each owner of words: n, tables and root of the part's words that it owns."""
+
+    def ask(batches):
+        for batch in batches:
+            for p, blob in zip(batch.column("p").to_pylist(), batch.column("blob").to_pylist()):
+                x = Cells.read(blob).words
+                yield from _dealt([(q, _ASKED, p, pack(steps(x[at]))) for q, at in dealt(owner(x, parts), parts)]).to_batches()
+
+    def answer(table):
+        q, kind, part, blob = (table[c].to_pylist() for c in table.column_names)
+        h, *told = (np.concatenate(x) for x in zip(*(unpack(b) for k, b in zip(kind, blob) if k == _TOLD)))
+        order = np.argsort(h)
+        h, out = h[order], []
+        for k, p, b in zip(kind, part, blob):
+            if k == _ASKED:
+                at = order[np.searchsorted(h, np.cumsum(unpack(b)[0]))]
+                out.append((p, _TOLD, q[0], pack(*(x[at] for x in told))))
+        return _dealt(out)
+
+    has = gathered(words.select("h", "n", "tables", "root"), parts, lambda x: x[0], _TOLD)
+    return by(has.unionByName(cells.mapInArrow(tidy(ask), _DEALT)), "p", answer, _DEALT)
+
+
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 510, lexicon: int = 1 << 20, slices: int = 4, part_bytes: int = 16 << 20) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     A null or empty text has one token, its end. Repeated rows are learned from and scored each; other columns are not
-    read. Without training texts the base gives every token the same probability, and so does the model. ``classes`` has
-    no effect: all words are contexts and dishes. Scores of cells that are not broadcast are joined in ``slices`` parts.
+    read. Without training texts the base gives every token the same probability, and so does the model. ``classes`` and
+    ``slices`` have no effect: all words are contexts and dishes. Cells are dealt to a part for each ``part_bytes`` of text.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     discount, concentration = 0.7, 5.0
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), whole_text(text_col).cast("binary").alias("t"))
-    cells = rows.select("held", "t").mapInArrow(tidy(_count_cells), "u long, w long, n long, other long")
-    cells = materialise(cells.groupBy("u", "w").agg(F.sum("n").alias("n"), F.sum("other").alias("other")), "cells")
-    one = F.when(F.col("n") == 1, 1).otherwise(0)
-    none = F.lit(0).cast("long")
-    vocabulary = cells.select(F.col("w").alias("h"), "n", "other", none.alias("u1"), one.cast("long").alias("w1")).unionByName(
-        cells.where("n = 1").select(F.col("u").alias("h"), none.alias("n"), none.alias("other"), F.lit(1).cast("long").alias("u1"), none.alias("w1")))
-    vocabulary = materialise(vocabulary.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") + F.col("other")).alias("m"), F.sum("u1").alias("u1"), F.sum("w1").alias("w1")), "vocabulary")
+    many = max(16, (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // part_bytes)
+    cells = count_cells(rows.select("held", "t"), many)
+    vocabulary = materialise(count_words(cells, many), "vocabulary")
     n_all, v, every = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum("m")).first())
-    seen, words = fit(cells, vocabulary, v, discount, concentration)
-
-    # own and back: of the context's mass what the cell has and what goes to the parent
-    by_u = words.select(F.col("h").alias("u"), "m", (concentration + F.col("n")).alias("size"), (concentration + discount * F.col("tables")).alias("new"))
-    by_w = words.select(F.col("h").alias("w"), "m", F.col("n").alias("c"), "root")
-    found = _with(_with(seen.withColumn("m", F.col("n") + F.col("other")), by_u, "u", lexicon, every), by_w, "w", lexicon, every)
-    found = materialise(found.select(
-        _cell_key(F.col("u"), F.col("w")).alias("h"), "m", "c",
-        F.log10((F.col("n") - discount * F.col("t")) / F.col("size") + F.col("new") / F.col("size") * F.col("root")).alias("s")), "cell-scores")
-    forget(cells, vocabulary, words)
-    base = F.log10((F.col("c") + 1) / F.lit(float(n_all + v + 1)))
-    one = F.when(F.col("c") > 0, 1).otherwise(0).cast("long")
-
-    frequent = found.where(F.col("m") * lexicon > every).select("h", "s", base.alias("b"), one.alias("k")).toPandas().sort_values("h")  # fewer than lexicon
-    known = spark.sparkContext.broadcast(tuple(frequent[c].to_numpy() for c in ("h", "s", "b", "k")))
-
-    def run(batches):
+    again, words = fit(cell_rows(cells, lambda x: x.n > 1), vocabulary, v, discount, concentration)
+    forget(vocabulary)
+
+    # a cell that makes up more than a 1/lexicon share of all tokens has two such words; there are fewer than lexicon
+    found = cell_rows(cells, lambda x: (x.n < 2) & ((x.n + x.other) * lexicon > every)).withColumn("t", F.col("n").cast("double"))
+    found = found.unionByName(again.where((F.col("n") + F.col("other")) * lexicon > every))
+    hot = words.where(F.col("m") * lexicon > every)
+    found = found.join(F.broadcast(hot.select(F.col("h").alias("u"), F.col("n").alias("size"), "tables")), "u").join(F.broadcast(hot.select(F.col("h").alias("w"), F.col("n").alias("c"), "root")), "w")
+
+    def score(n, t, size, tables, root):
+        size, new = concentration + size, concentration + discount * tables
+        return np.log10((n - discount * t) / size + new / size * root)
+
+    def base(c):
+        return np.log10((c + 1) / float(n_all + v + 1))
+
+    f = found.select("u", "w", "n", "t", "size", "tables", "c", "root").toPandas()
+    h = cell_key(f["u"].to_numpy(np.int64), f["w"].to_numpy(np.int64))
+    order = np.argsort(h)
+    c = f["c"].to_numpy(np.int64)
+    s = score(*(f[x].to_numpy(float) for x in ("n", "t", "size", "tables", "root")))
+    known = spark.sparkContext.broadcast(tuple(x[order] for x in (h, (c > 0).astype(np.int64), base(c), s)))
+
+    def ask(batches):
         from pyspark import TaskContext
 
-        hashes, (h, *scores), key = Hashes(), known.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in parts(batch, 2):
-                u, w, doc = cells_of(part.column(2).to_pylist(), hashes)
-                cell, texts = cell_key(u, w), part.num_rows
-                at = np.minimum(np.searchsorted(h, cell), max(0, len(h) - 1))
-                inside = h[at] == cell if len(h) else np.zeros(len(cell), bool)
-                s, b, k = (np.bincount(doc[inside], x[at[inside]], texts).astype(float) for x in scores)  # of nothing, bincount gives integers
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[~inside], minlength=texts))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key + np.arange(texts)), part.column(0), part.column(1), pa.array(np.bincount(doc, minlength=texts)), pa.array(k.astype(np.int64)), pa.array(b), pa.array(s),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell[~inside]))],
-                    ["row", "id", "held", "n_tokens", "k", "b", "s", "rare"])
-                key += texts
-
-    scored = materialise(rows.mapInArrow(tidy(run), f"row long, id {kind}, held boolean, n_tokens long, k long, b double, s double, rare array<bigint>"), "scored")
-    rare, pairs, sums = found.where(F.col("m") * lexicon <= every).drop("m"), scored.select("row", F.explode("rare").alias("h")), None
-    for part in range(slices):  # one after the other, as their shuffles are deleted in between
-        own = F.pmod(F.col("h"), F.lit(slices)) == part
-        got = pairs.where(own).join(rare.where(own), "h").groupBy("row").agg(F.sum(one).alias("k2"), F.sum(base).alias("b2"), F.sum("s").alias("s2"))
-        got = materialise(got, "rare-scores")
-        sums = got if sums is None else sums.unionByName(got)
-    rest = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("k2", "b2", "s2")))
-    forget(found)
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    done = scored.drop("rare").join(rest, "row", "left")
+        (h, *scores), part = known.value, TaskContext.get().partitionId() << 32
+        for got, w, doc in flushes(batches, 2):
+            texts = sum(x.num_rows for x in got)
+            size = np.bincount(doc, minlength=texts)
+            cell = cell_key(np.concatenate([[END], w[:-1]]), w)
+            order = np.argsort(cell)
+            cell, doc = cell[order], doc[order]
+            at = np.minimum(np.searchsorted(h, cell), max(0, len(h) - 1))
+            inside = h[at] == cell if len(h) else np.zeros(len(cell), bool)
+            k, b, s = (np.bincount(doc[inside], x[at[inside]], texts).astype(float) for x in scores)  # of nothing, bincount gives integers
+            own = pa.Table.from_batches(got).select([0, 1]).combine_chunks()
+            for name, x in (("n_tokens", size), ("k", k.astype(np.int64)), ("b", b), ("s", s)):
+                own = own.append_column(name, pa.array(x))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema) as out:
+                out.write_table(own)
+            cell, doc = cell[~inside], doc[~inside]
+            out = [(p, _ASKED, part, pack(steps(cell[x]), doc[x])) for p, x in dealt(owner(cell, many), many)]
+            yield from _dealt([(part % many, _BASE, part, sink.getvalue().to_pybytes()), *out]).to_batches()
+            part += 1
+
+    def look_up(table):
+        p, kinds, part, blob = (table[c].to_pylist() for c in table.column_names)
+        out = [(x, _BASE, b) for k, x, b in zip(kinds, part, blob) if k == _BASE]
+        if _CELLS in kinds:
+            x = Cells.read(blob[kinds.index(_CELLS)])
+            key, t, own = x.key(), x.n.astype(float), owner(x.words, many)
+            order = np.argsort(key)
+            key = key[order]
+            told = np.zeros((3, len(x.words)))
+            for k, q, b in zip(kinds, part, blob):
+                if k == _TABLES:
+                    u, w, tables = unpack(b)
+                    t[order[np.searchsorted(key, cell_key(u, w))]] = tables
+                elif k == _TOLD:
+                    told[:, own == q] = unpack(b)
+            n, tables, root = told
+            s = score(x.n, t, n[x.u], tables[x.u], root[x.w])[order]
+            c = n[x.w][order]
+            b, k = base(c), (c > 0).astype(float)
+            for kind, q, asked in zip(kinds, part, blob):
+                if kind == _ASKED:
+                    cell, doc = unpack(asked)
+                    at, size = np.searchsorted(key, np.cumsum(cell)), np.bincount(doc)
+                    some = np.flatnonzero(size)
+                    sums = [np.bincount(doc, y[at])[some] for y in (k, b, s)]
+                    out.append((q, _ASKED, pack(steps(some), sums[0].astype(np.int64), *sums[1:])))
+        return _blobs(out, ("part", "kind", "blob"), (pa.int64(), pa.int64(), pa.binary()))
+
+    def add(table):
+        kinds, blob = table["kind"].to_pylist(), table["blob"].to_pylist()
+        own = pa.ipc.open_stream(blob[kinds.index(_BASE)]).read_all()
+        k, b, s = (own[c].to_numpy().copy() for c in ("k", "b", "s"))
+        for kind, x in zip(kinds, blob):
+            if kind == _ASKED:
+                at, *plus = unpack(x)
+                at = np.cumsum(at)
+                for total, y in zip((k, b, s), plus):
+                    total[at] += y
+        return pa.table([own[0], own[1], own["n_tokens"], pa.array(k), pa.array(b), pa.array(s)], ["id", "held", "n_tokens", "k", "b", "s"])
+
+    asked = rows.mapInArrow(tidy(ask), _DEALT)
+    seated = gathered(again.select("u", "w", "t"), many, lambda x: cell_key(x[0], x[1]), _TABLES)
+    own = cells.select("p", F.lit(_CELLS).cast("long").alias("kind"), F.lit(-1).cast("long").alias("part"), "blob")
+    dealt_all = own.unionByName(seated).unionByName(tell_words(cells, words, many)).unionByName(asked)
+    sums = by(dealt_all, "p", look_up, "part long, kind long, blob binary")
+    done = materialise(by(sums, "part", add, f"id {kind}, held boolean, n_tokens long, k long, b double, s double"), "scores")
+    forget(cells, words)
     return done.select(
-        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", plus("k", "k2").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        plus("b", "b2").alias("base_score"), plus("s", "s2").alias("score"), F.pow(F.lit(10.0), -plus("s", "s2") / F.col("n_tokens")).alias("perplexity"))
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", F.col("k").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        F.col("b").alias("base_score"), F.col("s").alias("score"), F.pow(F.lit(10.0), -F.col("s") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
