@@ -24,18 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import forget, materialise, table, tidy, whole_text
 
-_FLUSH = 200_000
-
 #: Bytes of text that are split into words at once; one text may be longer.
-_PART = 4 << 20
+_PART = 1 << 20
 
 #: Tokens whose cells are summed up before they are dealt.
-_TOKENS = 2_000_000
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """bytes.lower() and bytes.split() know A-Z and the six white-space characters only, as asked for."""
-    return text.lower().split()
+_TOKENS = 1_500_000
 
 
 def word_hash(word: bytes) -> int:
@@ -53,27 +46,45 @@ def held_out(id_col: str) -> Column:
 END = word_hash(b" ")
 
 
-class Hashes(dict):
-    """Hash of each word met."""
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        new = {w for w in set(words) if w not in self}
-        if len(self) + len(new) > _FLUSH:
-            self.clear()
-            new = set(words)
-        for w in new:
-            self[w] = word_hash(w)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def cells_of(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context, word and place of the text, for all tokens and ends of the texts."""
-    words = [words_of(t) for t in texts]
-    size = np.array([len(t) + 1 for t in words], np.int64)
-    w, inside = np.full(size.sum(), END), np.ones(size.sum(), bool)
-    inside[np.cumsum(size) - 1] = False
-    w[inside] = hashes.of([x for t in words for x in t])
-    return np.concatenate([[END], w[:-1]]), w, np.repeat(np.arange(len(texts)), size)
+#: Longer words are hashed one by one.
+_LONG = 256
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # splitmix64
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def cells_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word and place of the text, for all tokens and ends of the texts. A word's hash mixes in its length and
+    then its bytes, eight at a time."""
+    raw = b" ".join([*texts, b""]).lower()
+    data = np.frombuffer(raw + bytes(8), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    space = _SPACE[data[: len(raw)]]
+    edge = np.flatnonzero(np.diff(space, prepend=True))  # the starts of words and, as a space ends every text, theirs ends
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(raw) + 1,), np.dtype("<u8"), data, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = _mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        live, at = np.flatnonzero(size <= _LONG), 0
+        while len(live):
+            left = np.minimum(size[live] - at, 8).astype(np.uint64)
+            x = eight[start[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+            h[live] = _mix((h[live] ^ x) + np.uint64(0x9E3779B97F4A7C15))
+            at += 8
+            live = live[size[live] > at]
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = np.uint64(xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]]))
+    before = np.searchsorted(start, ends)  # words up to the end of each text
+    w = np.full(len(start) + len(ends), END)
+    inside = np.ones(len(w), bool)
+    inside[before + np.arange(len(ends))] = False
+    w[inside] = h.view(np.int64)
+    return np.concatenate([[END], w[:-1]]), w, np.repeat(np.arange(len(texts)), np.diff(before, prepend=0) + 1)
 
 
 def parts(batch: pa.RecordBatch, column: int):
@@ -157,7 +168,7 @@ class Cells:
 
     @staticmethod
     def read(blob: bytes) -> Cells:
-        words, u, w, n, other = unpack(blob)
+        words, u, w, n, other = unpack(blob)[:5]
         return Cells(np.cumsum(words), np.cumsum(u), w, n, other)
 
     def key(self) -> np.ndarray:
@@ -175,10 +186,10 @@ class Cells:
 
 def flushes(batches, text: int):
     """Parts of the batches until they have ``_TOKENS`` tokens: the parts, their tokens and ends, and each one's row."""
-    hashes, held = Hashes(), []
+    held = []
     for batch in batches:
         for part in parts(batch, text):
-            held.append((part, *cells_of(part.column(text).to_pylist(), hashes)[1:]))
+            held.append((part, *cells_of(part.column(text).to_pylist())[1:]))
             if sum(len(x[1]) for x in held) >= _TOKENS:
                 yield _together(held)
                 held = []
@@ -220,38 +231,90 @@ def count_cells(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def cell_rows(cells: DataFrame, which) -> DataFrame:
-    """u, w, n and other of those cells that which(cells) finds."""
+    """u, w, n, other and t (the sixth array of a blob, else n) of those cells that which(cells) finds."""
 
     def run(batches):
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                x = Cells.read(blob)
+                x, t = Cells.read(blob), unpack(blob)[5:6]
                 at = np.flatnonzero(which(x))
-                yield _rows(["u", "w", "n", "other"], x.words[x.u[at]], x.words[x.w[at]], x.n[at], x.other[at])
+                yield _rows(["u", "w", "n", "other", "t"], x.words[x.u[at]], x.words[x.w[at]], x.n[at], x.other[at], (t[0] if t else x.n)[at].astype(float))
 
-    return cells.mapInArrow(tidy(run), "u long, w long, n long, other long")
+    return cells.mapInArrow(tidy(run), "u long, w long, n long, other long, t double")
 
 
 def count_words(cells: DataFrame, parts: int) -> DataFrame:
-    """h, n, m, u1, w1 and met (is in a cell of several customers) of each word; see fit."""
+    """A row for each owner of words: p, sums over its words of n, m and one for each that training texts have, and
+    blob: h, n, m, u1, w1 of its words; see fit."""
 
     def run(batches):
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
                 x = Cells.read(blob)
-                size, once, met = len(x.words), x.n == 1, np.zeros(len(x.words), np.int64)
-                met[x.u[x.n > 1]] = met[x.w[x.n > 1]] = 1
+                size, once = len(x.words), x.n == 1
                 sums = [np.bincount(x.w, x.n, size), np.bincount(x.w, x.n + x.other, size), np.bincount(x.u[once], minlength=size), np.bincount(x.w[once], minlength=size)]
-                sums = [s.astype(np.int64) for s in sums] + [met]
-                yield from _blobs([(p, pack(steps(x.words[at]), *(s[at] for s in sums))) for p, at in dealt(owner(x.words, parts), parts)]).to_batches()
+                yield from _blobs([(p, pack(steps(x.words[at]), *(s[at].astype(np.int64) for s in sums))) for p, at in dealt(owner(x.words, parts), parts)]).to_batches()
 
     def add(table):
         found = [unpack(b) for b in table["blob"].to_pylist()]
         words, at = np.unique(np.concatenate([np.cumsum(x[0]) for x in found]), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([x[i] for x in found]), len(words)).astype(np.int64) for i in range(1, 6)]
-        return pa.table([words, *sums[:4], sums[4] > 0], ["h", "n", "m", "u1", "w1", "met"])
+        sums = [np.bincount(at, np.concatenate([x[i] for x in found]), len(words)).astype(np.int64) for i in range(1, 5)]
+        n, m = sums[:2]
+        return _row(table["p"][0].as_py(), (n.sum(), (n > 0).sum(), m.sum()), pack(steps(words), *sums))
+
+    return materialise(by(cells.mapInArrow(tidy(run), "p long, blob binary"), "p", add, _OWNED), "vocabulary")
+
+
+_OWNED = "p long, a double, b double, c double, blob binary"
+
+
+def _row(p: int, sums: tuple, blob: bytes) -> pa.Table:
+    return pa.table({"p": [p], **{k: [float(x)] for k, x in zip("abc", sums)}, "blob": pa.array([blob], pa.binary())})
+
+
+_DEALT = "p long, kind long, part long, blob binary"
+_CELLS, _TABLES, _TOLD, _ASKED, _BASE = range(5)
+
+
+def _dealt(found: list) -> pa.Table:
+    return _blobs(found, ("p", "kind", "part", "blob"), (pa.int64(),) * 3 + (pa.binary(),))
+
+
+def as_kind(df: DataFrame, kind: int) -> DataFrame:
+    return df.select("p", F.lit(kind).cast("long").alias("kind"), F.lit(-1).cast("long").alias("part"), "blob")
+
+
+def tell_words(cells: DataFrame, words: DataFrame, parts: int, told) -> DataFrame:
+    """For each part of the cells, from each owner of words, told(arrays of the owner) for the part's words that it owns."""
+
+    def ask(batches):
+        for batch in batches:
+            for p, blob in zip(batch.column("p").to_pylist(), batch.column("blob").to_pylist()):
+                x = Cells.read(blob).words
+                yield from _dealt([(q, _ASKED, p, pack(steps(x[at]))) for q, at in dealt(owner(x, parts), parts)]).to_batches()
+
+    def answer(table):
+        q, kind, part, blob = (table[c].to_pylist() for c in table.column_names)
+        own = unpack(blob[kind.index(_TOLD)])
+        h, own, out = np.cumsum(own[0]), told(own), []
+        for k, p, b in zip(kind, part, blob):
+            if k == _ASKED:
+                at = np.searchsorted(h, np.cumsum(unpack(b)[0]))
+                out.append((p, _TOLD, q[0], pack(*(x[at] for x in own))))
+        return _dealt(out)
 
-    return by(cells.mapInArrow(tidy(run), "p long, blob binary"), "p", add, "h long, n long, m long, u1 long, w1 long, met boolean")
+    return by(as_kind(words, _TOLD).unionByName(cells.mapInArrow(tidy(ask), _DEALT)), "p", answer, _DEALT)
+
+
+def hear(words: np.ndarray, kinds: list, part: list, blob: list, parts: int) -> np.ndarray:
+    """What tell_words told, for each of the words."""
+    own, found = owner(words, parts), None
+    for k, q, b in zip(kinds, part, blob):
+        if k == _TOLD:
+            x = unpack(b)
+            found = np.zeros((len(x), len(words))) if found is None else found
+            found[:, own == q] = x
+    return found
 
 
 # -- model ------------------------------------------------------------------------------------------------------
@@ -360,119 +423,88 @@ class WordModel:
         return np.log10((np.maximum(c - self.discount * np.where(c > 0, t, 0), 0) + self.new * self.base) / self.size)
 
 
-def fit(again: DataFrame, vocabulary: DataFrame, types: int, discount=0.7, concentration=5.0, warm=2, sweeps=4) -> tuple[DataFrame, DataFrame]:
-    """The model of ``ContextModel`` over all cells. again: u, w, n, other of the cells of several customers; vocabulary:
-    h, n, m, u1, w1 (customers, all tokens, cells of one customer that have h as context, as word), met (is in one of
-    several). Returns ``again`` with ``t``, and h, n, m, tables and root: means over the sweeps. A word's tables and root
-    are those of its context and of its dish.
-
-    Words in no cell of several customers whose dish has at most one customer in the parent keep their tables in every
-    sweep; they count in the parent's sums, and their root follows from that customer."""
-    again = again.select("*", F.lit(1.0).alias("t"), F.lit(0.0).alias("t_sum"))
-    vocabulary = vocabulary.withColumn("moves", F.col("met") | (F.col("w1") > 1)).drop("met")
-    still = vocabulary.where("not moves")
-    alone = float(still.agg(F.sum("w1")).first()[0] or 0)  # customers and tables of the parent
-    words = vocabulary.where("moves").select("h", "n", "m", "u1", "w1", F.lit(0.0).alias("tables_sum"), F.lit(0.0).alias("root_sum"))
-    root_tables, still_root = None, [0.0, 0.0]
-
-    def sums():
-        t = again.select(F.col("w").alias("h"), F.col("t").alias("k"), F.lit(0.0).alias("s")).unionByName(again.select(F.col("u").alias("h"), F.lit(0.0).alias("k"), F.col("t").alias("s")))
-        t = t.groupBy("h").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))
-        return words.join(t, "h", "left").withColumns({"k": F.col("w1") + F.coalesce("k", F.lit(0.0)), "s": F.col("u1") + F.coalesce("s", F.lit(0.0))})
-
-    def reseat(of, key, out, sweep):
-        def run(batches):
-            for batch in batches:
-                x = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in batch.schema.names}
-                c, base, strength = of(x)
-                t = seat(c, base, strength, discount, Keyed(np.ascontiguousarray(key(x)), sweep))
-                yield pa.RecordBatch.from_arrays([pa.array(t) if f == out else batch.column(f) for f in batch.schema.names], batch.schema.names)
-
-        return tidy(run)
-
-    def kind(df):
-        return ", ".join(f"{c} {k}" for c, k in df.dtypes)
-
-    old = []  # tables of the last sweep, which the next one's replace
-    for sweep in range(warm + sweeps):
-        averaged = F.lit(float(sweep > warm))
-        now = sums().withColumns({"tables_sum": F.col("tables_sum") + averaged * F.col("s"), "t": F.lit(0.0)})
-        if root_tables is None:
-            root_tables = alone + float(now.agg(F.count_if(F.col("k") > 0)).first()[0])
-        strength = concentration + discount * root_tables
-        now = materialise(now.mapInArrow(
-            reseat(lambda x, s=strength: (x["k"], np.full(len(x["k"]), 1 / (types + 1)), np.full(len(x["k"]), s)), lambda x: x["h"], "t", sweep), kind(now)), "root")
-        root_table = now
-        root_tables, customers = (alone + (x or 0.0) for x in now.agg(F.sum("t"), F.sum("k")).first())
-        share = (concentration + discount * root_tables) / (types + 1)
-        now = now.withColumn("root", (F.greatest(F.col("k") - discount * F.col("t"), F.lit(0.0)) + share) / (concentration + customers))
-        if sweep >= warm:
-            still_root = [x + (max(k - discount * k, 0.0) + share) / (concentration + customers) for k, x in enumerate(still_root)]
-        c = again.join(now.select(F.col("h").alias("w"), "root"), "w").join(now.select(F.col("h").alias("u"), "s"), "u")
-        c = c.mapInArrow(reseat(lambda x: (x["n"].astype(float), x["root"], concentration + discount * x["s"]), lambda x: cell_key(x["u"], x["w"]), "t", sweep), kind(c))
-        again = materialise(c.select("u", "w", "n", "other", "t", (F.col("t_sum") + F.lit(float(sweep >= warm)) * F.col("t")).alias("t_sum")), "seated")
-        forget(*old)
-        old = [root_table, again]
-        words = now.select("h", "n", "m", "u1", "w1", "tables_sum", (F.col("root_sum") + F.lit(float(sweep >= warm)) * F.col("root")).alias("root_sum"))
-    words = sums().select("h", "n", "m", ((F.col("tables_sum") + F.col("s")) / sweeps).alias("tables"), (F.col("root_sum") / sweeps).alias("root"))
-    words = words.unionByName(still.select("h", "n", "m", F.col("u1").cast("double").alias("tables"), (F.when(F.col("w1") > 0, still_root[1]).otherwise(still_root[0]) / sweeps).alias("root")))
-    words = materialise(words, "words")
-    forget(root_table)
-    return again.select("u", "w", "n", "other", (F.col("t_sum") / sweeps).alias("t")), words
-
-
-# -- scoring ----------------------------------------------------------------------------------------------------
-
-_DEALT = "p long, kind long, part long, blob binary"
-_CELLS, _TABLES, _TOLD, _ASKED, _BASE = range(5)
-
-
-def _dealt(found: list) -> pa.Table:
-    return _blobs(found, ("p", "kind", "part", "blob"), (pa.int64(),) * 3 + (pa.binary(),))
-
-
-def gathered(rows: DataFrame, parts: int, key, kind: int) -> DataFrame:
-    """The columns of rows as blobs, dealt by the owner of a row's key."""
-
-    def run(batches):
-        from itertools import chain
-
-        held, size = [], 0
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-                size += batch.num_rows
-            if size and (batch is None or size >= _TOKENS):
-                x = [np.concatenate(c) for c in zip(*held)]
-                yield from _dealt([(p, kind, -1, pack(*(c[at] for c in x))) for p, at in dealt(owner(key(x), parts), parts)]).to_batches()
-                held, size = [], 0
-
-    return rows.mapInArrow(tidy(run), _DEALT)
+def fit(cells: DataFrame, vocabulary: DataFrame, types: int, parts: int, discount=0.7, concentration=5.0, warm=2, sweeps=4) -> tuple[DataFrame, DataFrame]:
+    """The model of ``ContextModel`` over all cells, of which only those of several customers are seated anew. vocabulary:
+    h, n, m, u1, w1 (customers, all tokens, cells of one customer that have h as context, as word). Returns the cells of
+    several customers with t, and h, n, m, tables and root: means over the sweeps. A word's tables and root are those of
+    its context and of its dish."""
 
-
-def tell_words(cells: DataFrame, words: DataFrame, parts: int) -> DataFrame:
-    """For each part of the cells, from each owner of words: n, tables and root of the part's words that it owns."""
-
-    def ask(batches):
+    def several(batches):
         for batch in batches:
             for p, blob in zip(batch.column("p").to_pylist(), batch.column("blob").to_pylist()):
-                x = Cells.read(blob).words
-                yield from _dealt([(q, _ASKED, p, pack(steps(x[at]))) for q, at in dealt(owner(x, parts), parts)]).to_batches()
+                x = Cells.read(blob)
+                at = np.flatnonzero(x.n > 1)
+                if len(at):
+                    x, one = x.take(at), np.ones(len(at))
+                    yield from _blobs([(p, pack(steps(x.words), steps(x.u), x.w, x.n, x.other, one, 0 * one))]).to_batches()
 
-    def answer(table):
-        q, kind, part, blob = (table[c].to_pylist() for c in table.column_names)
-        h, *told = (np.concatenate(x) for x in zip(*(unpack(b) for k, b in zip(kind, blob) if k == _TOLD)))
-        order = np.argsort(h)
-        h, out = h[order], []
-        for k, p, b in zip(kind, part, blob):
-            if k == _ASKED:
-                at = order[np.searchsorted(h, np.cumsum(unpack(b)[0]))]
-                out.append((p, _TOLD, q[0], pack(*(x[at] for x in told))))
-        return _dealt(out)
+    def tables(batches):  # by dish and by context
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                x, t = Cells.read(blob), unpack(blob)[5:]
+                t = t[2] if len(t) > 2 else t[0]  # of the last sweep
+                k, s = (np.bincount(i, t, len(x.words)) for i in (x.w, x.u))
+                yield from _dealt([(q, _TABLES, -1, pack(steps(x.words[at]), k[at], s[at])) for q, at in dealt(owner(x.words, parts), parts)]).to_batches()
+
+    def share_of(k, t, root):
+        return (np.maximum(k - discount * t, 0) + root[0]) / root[1]
+
+    def seat_parent(sweep, strength, root):
+        """The sums of the last sweep and, but after the last one, new tables of the parent. root: what the last sweep's
+        shares are reckoned from."""
+
+        def run(table):
+            kinds, blob = table["kind"].to_pylist(), table["blob"].to_pylist()
+            h, n, m, u1, w1, *state = unpack(blob[kinds.index(_TOLD)])
+            words = np.cumsum(h)
+            k, s = w1.astype(float), u1.astype(float)
+            tables_sum, root_sum, k0, t0 = state[:4] if state else np.zeros((4, len(words)))
+            for kind, b in zip(kinds, blob):
+                if kind == _TABLES:
+                    own, k1, s1 = unpack(b)
+                    at = np.searchsorted(words, np.cumsum(own))
+                    k[at] += k1
+                    s[at] += s1
+            if sweep > warm:
+                tables_sum, root_sum = tables_sum + s, root_sum + share_of(k0, t0, root)
+            if sweep == warm + sweeps:
+                return _row(table["p"][0].as_py(), (0, 0, 0), pack(h, n, m, tables_sum / sweeps, root_sum / sweeps))
+            t = seat(k, np.full(len(k), 1 / (types + 1)), np.full(len(k), strength), discount, Keyed(words, sweep))
+            return _row(table["p"][0].as_py(), (t.sum(), k.sum(), 0), pack(h, n, m, u1, w1, tables_sum, root_sum, k, t, s))
+
+        return run
+
+    def seat_cells(sweep, root):
+        def run(table):
+            p, kinds, part, blob = (table[c].to_pylist() for c in table.column_names)
+            *same, _, t_sum = unpack(blob[kinds.index(_CELLS)])
+            x = Cells.read(blob[kinds.index(_CELLS)])
+            k, t, s = hear(x.words, kinds, part, blob, parts)
+            t = seat(x.n.astype(float), share_of(k, t, root)[x.w], (concentration + discount * s)[x.u], discount, Keyed(x.key(), sweep))
+            t_sum = t_sum + t * (sweep >= warm)
+            return _blobs([(p[0], pack(*same, t_sum / sweeps if sweep == warm + sweeps - 1 else t, t_sum, *([t] if sweep == warm + sweeps - 1 else [])))])
+
+        return run
+
+    again = materialise(cells.mapInArrow(tidy(several), "p long, blob binary"), "seated")
+    words, root_tables, root = vocabulary, float(types), None
+    for sweep in range(warm + sweeps + 1):
+        last = sweep == warm + sweeps
+        summed = as_kind(words, _TOLD).unionByName(again.mapInArrow(tidy(tables), _DEALT))
+        now = materialise(by(summed, "p", seat_parent(sweep, concentration + discount * root_tables, root), _OWNED), "words")
+        forget(words)
+        words = now
+        if not last:
+            root_tables, customers = (x or 0.0 for x in words.agg(F.sum("a"), F.sum("b")).first())
+            root = ((concentration + discount * root_tables) / (types + 1), concentration + customers)
+            told = as_kind(again, _CELLS).unionByName(tell_words(again, words, parts, lambda x: x[7:10]))
+            now = materialise(by(told, "p", seat_cells(sweep, root), "p long, blob binary"), "seated")
+            forget(again)
+            again = now
+    return again, words
 
-    has = gathered(words.select("h", "n", "tables", "root"), parts, lambda x: x[0], _TOLD)
-    return by(has.unionByName(cells.mapInArrow(tidy(ask), _DEALT)), "p", answer, _DEALT)
 
+# -- scoring ----------------------------------------------------------------------------------------------------
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 510, lexicon: int = 1 << 20, slices: int = 4, part_bytes: int = 16 << 20) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
@@ -486,15 +518,20 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), whole_text(text_col).cast("binary").alias("t"))
     many = max(16, (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // part_bytes)
     cells = count_cells(rows.select("held", "t"), many)
-    vocabulary = materialise(count_words(cells, many), "vocabulary")
-    n_all, v, every = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum("m")).first())
-    again, words = fit(cell_rows(cells, lambda x: x.n > 1), vocabulary, v, discount, concentration)
-    forget(vocabulary)
+    vocabulary = count_words(cells, many)
+    n_all, v, every = (int(x or 0) for x in vocabulary.agg(F.sum("a"), F.sum("b"), F.sum("c")).first())
+    again, words = fit(cells, vocabulary, v, many, discount, concentration)
+
+    def often(batches):
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                h, n, m, tables, root = unpack(blob)
+                at = m * lexicon > every
+                yield _rows(["h", "n", "tables", "root"], *(x[at] for x in (np.cumsum(h), n, tables, root)))
 
     # a cell that makes up more than a 1/lexicon share of all tokens has two such words; there are fewer than lexicon
-    found = cell_rows(cells, lambda x: (x.n < 2) & ((x.n + x.other) * lexicon > every)).withColumn("t", F.col("n").cast("double"))
-    found = found.unionByName(again.where((F.col("n") + F.col("other")) * lexicon > every))
-    hot = words.where(F.col("m") * lexicon > every)
+    found = cell_rows(cells, lambda x: (x.n < 2) & ((x.n + x.other) * lexicon > every)).unionByName(cell_rows(again, lambda x: (x.n + x.other) * lexicon > every))
+    hot = words.mapInArrow(tidy(often), "h long, n long, tables double, root double")
     found = found.join(F.broadcast(hot.select(F.col("h").alias("u"), F.col("n").alias("size"), "tables")), "u").join(F.broadcast(hot.select(F.col("h").alias("w"), F.col("n").alias("c"), "root")), "w")
 
     def score(n, t, size, tables, root):
@@ -540,17 +577,13 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
         out = [(x, _BASE, b) for k, x, b in zip(kinds, part, blob) if k == _BASE]
         if _CELLS in kinds:
             x = Cells.read(blob[kinds.index(_CELLS)])
-            key, t, own = x.key(), x.n.astype(float), owner(x.words, many)
+            key, t = x.key(), x.n.astype(float)
             order = np.argsort(key)
             key = key[order]
-            told = np.zeros((3, len(x.words)))
-            for k, q, b in zip(kinds, part, blob):
+            for k, b in zip(kinds, blob):
                 if k == _TABLES:
-                    u, w, tables = unpack(b)
-                    t[order[np.searchsorted(key, cell_key(u, w))]] = tables
-                elif k == _TOLD:
-                    told[:, own == q] = unpack(b)
-            n, tables, root = told
+                    t[order[np.searchsorted(key, Cells.read(b).key())]] = unpack(b)[5]
+            n, tables, root = hear(x.words, kinds, part, blob, many)
             s = score(x.n, t, n[x.u], tables[x.u], root[x.w])[order]
             c = n[x.w][order]
             b, k = base(c), (c > 0).astype(float)
@@ -576,12 +609,11 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
         return pa.table([own[0], own[1], own["n_tokens"], pa.array(k), pa.array(b), pa.array(s)], ["id", "held", "n_tokens", "k", "b", "s"])
 
     asked = rows.mapInArrow(tidy(ask), _DEALT)
-    seated = gathered(again.select("u", "w", "t"), many, lambda x: cell_key(x[0], x[1]), _TABLES)
-    own = cells.select("p", F.lit(_CELLS).cast("long").alias("kind"), F.lit(-1).cast("long").alias("part"), "blob")
-    dealt_all = own.unionByName(seated).unionByName(tell_words(cells, words, many)).unionByName(asked)
+    told = tell_words(cells, words, many, lambda x: (x[1], x[3], x[4]))
+    dealt_all = as_kind(cells, _CELLS).unionByName(as_kind(again, _TABLES)).unionByName(told).unionByName(asked)
     sums = by(dealt_all, "p", look_up, "part long, kind long, blob binary")
     done = materialise(by(sums, "part", add, f"id {kind}, held boolean, n_tokens long, k long, b double, s double"), "scores")
-    forget(cells, words)
+    forget(cells, again, words)
     return done.select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", F.col("k").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         F.col("b").alias("base_score"), F.col("s").alias("score"), F.pow(F.lit(10.0), -F.col("s") / F.col("n_tokens")).alias("perplexity"))
