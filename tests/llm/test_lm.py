@@ -67,3 +67,23 @@ def test_all_words_are_contexts(spark):
     cells = [(place(t.split())[:-1], place(t.split())[1:]) for t in [*texts, *(t for _, t in extra)]]
     want = np.mean([sorted(float(log[c].sum()) for c in cells) for log in logs], axis=0)
     assert sorted(r.score for r in got) == pytest.approx(want, rel=0.01, abs=0.2)  # seeds of the oracle differ by up to 0.18
+
+
+def test_cells_take_few_bytes():
+    """Cells of words that mostly occur once are packed into at most eight bytes each, and read back as they were."""
+    draw = np.random.default_rng(0)
+    texts = [b" ".join(b"w%d" % x for x in draw.zipf(1.3, 300) % 50_000) for _ in range(200)]
+    _, w, _ = lm.cells_of(texts)
+    cells = lm.Cells.of_tokens(w, np.arange(len(w)) % 5 == 0)
+    blob = cells.blob()
+    again = lm.Cells.read(blob)
+    assert (again.key() == cells.key()).all() and (again.n == cells.n).all() and (again.other == cells.other).all()
+    assert again.n.sum() + again.other.sum() == len(w) and len(blob) < 8 * len(cells.n)
+
+
+def test_words_are_split_as_by_bytes_split():
+    texts = [b"", b" ", b"A b", b"x" * 300 + b" " + b"x" * 301, b"x" * 256 + b" y", b"\x00 \x00\x00 a\x00", b"\x1c\x85 \xc2\xa0b\x0b\x0cc\r\n", b""]
+    _, w, doc = lm.cells_of(texts)
+    want = [(x, i) for i, t in enumerate(texts) for x in [*t.lower().split(), None]]
+    assert [i for _, i in want] == doc.tolist()
+    assert len(set(zip(w.tolist(), (x for x, _ in want)))) == len({x for x, _ in want}) == len(set(w.tolist()))
