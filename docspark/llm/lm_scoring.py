@@ -7,10 +7,11 @@ from the counts of the whole training corpus; every sweep seats the customers of
 the rest (Chinese restaurant process; from the 17th customer of a dish on in blocks of a sixteenth of those seated), and
 the seatings after the first sweeps are averaged. A cell of one customer has one table in every sweep.
 
-Cells are gathered from all texts by partial counts and a shuffle, are seated by partition and meet the sums of their
-context and word by joins. Draws hang on the cell and the sweep alone, so partitions don't change them. Cells that make
-up more than a 1/``lexicon`` share of all tokens, fewer than ``lexicon`` of them, are broadcast with their scores; those
-of the others are joined, none of which can be frequent. Words are told apart by 64 bits of a hash, and so are cells.
+Cells are gathered from all texts by partial counts and a shuffle, and dealt by hash to parts, as are words to owners;
+both are packed, sorted lists. A part is seated at once and asks the owners of its words for their sums. Draws hang on the
+cell and the sweep alone, so parts don't change them. Cells that make up more than a 1/``lexicon`` share of all tokens,
+fewer than ``lexicon`` of them, are broadcast with their scores; tokens of the others are looked up in their part, none of
+which can be frequent. Words are told apart by 64 bits of a hash, and so are cells.
 """
 
 from __future__ import annotations
