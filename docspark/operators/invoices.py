@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions.text import normalize_label, parse_amount
@@ -71,45 +71,28 @@ def logical_invoices(pages: DataFrame) -> DataFrame:
     """pages with invoice and confidence.
 
     pages: doc_id, page, tables int, anchor string (invoice number, null if none), title boolean, roles string (the
-    header's, null without one), continued boolean, triples int, terminal boolean (holds a closing total). Pages of one
-    document are folded in order, since each depends on the group before it.
+    header's, null without one), continued boolean, triples int, terminal boolean (holds a closing total). Each page
+    depends on the group before it, but only by its last printed anchor and roles: after a page with an anchor the group
+    has that one, and whether a page without an anchor starts a group hangs on no anchor. So windows over the pages of a
+    document, which spill, do without a fold.
     """
-    schema = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes) + ", invoice int, confidence string"
-
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("page").reset_index(drop=True)
-        number, anchor, roles, closed, invoices, confidence = -1, None, None, True, [], []
-        for p in doc.itertuples(index=False):
-            own_anchor = p.anchor if isinstance(p.anchor, str) else None
-            own_roles = p.roles if isinstance(p.roles, str) else None
-            if p.tables > 1:
-                start, sure = True, "ambiguous"
-            elif number < 0:
-                start, sure = True, "high"
-            elif own_anchor and anchor and own_anchor != anchor:
-                start, sure = True, "high"
-            elif own_anchor and own_anchor == anchor:
-                start, sure = False, "high"
-            elif closed and (own_roles or p.title):
-                start, sure = True, "high"
-            elif own_roles and own_roles == roles:
-                start, sure = False, "high"
-            elif not own_roles and (p.triples >= 2 or p.continued or p.tables == 0) and not p.title:
-                start, sure = False, "medium"
-            else:
-                start, sure = False, "ambiguous"
-            if start:
-                number, anchor, roles = number + 1, own_anchor, own_roles
-            anchor, roles, closed = anchor or own_anchor, own_roles or roles, bool(p.terminal)
-            invoices.append(number)
-            confidence.append(sure)
-        worst = {"high": 0, "medium": 1, "ambiguous": 2}
-        least: dict[int, str] = {}
-        for i, c in zip(invoices, confidence):
-            least[i] = max(least.get(i, "high"), c, key=worst.__getitem__)
-        return doc.assign(invoice=pd.Series(invoices, dtype="int32"), confidence=[least[i] for i in invoices])
-
-    return pages.groupBy("doc_id").applyInPandas(fold, schema)
+    c, yes = F.col, lambda x: F.coalesce(x, F.lit(False))
+    text = lambda name: F.when(c(name) != "", c(name))
+    w = W.partitionBy("doc_id").orderBy(c("page").asc_nulls_last())
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    held = lambda when, value: F.last(F.when(when, F.struct(value.alias("x"))), ignorenulls=True).over(before)["x"]
+    anchor, roles, title, many = text("anchor"), text("roles"), yes(c("title")), yes(c("tables") > 1)
+    opens = c("_closed") & (roles.isNotNull() | title)  # without anchors to compare
+    known = anchor.isNotNull() & c("_anchor").isNotNull()
+    found = pages.withColumns({"_first": F.row_number().over(w) == 1, "_closed": yes(F.lag("terminal").over(w))})
+    found = found.withColumn("_anchor", held(anchor.isNotNull() | many | c("_first") | opens, anchor))
+    found = found.withColumn("_start", many | c("_first") | F.when(known, anchor != c("_anchor")).otherwise(opens))
+    found = found.withColumns({"_roles": held(c("_start") | roles.isNotNull(), roles), "invoice": (F.sum(F.when(c("_start"), 1).otherwise(0)).over(upto) - 1).cast("int")})
+    follows = roles.isNull() & (yes(c("triples") >= 2) | yes(c("continued")) | yes(c("tables") == 0)) & ~title
+    doubt = F.when(many, 2).when(c("_first") | known | opens | yes(roles == c("_roles")), 0).when(follows, 1).otherwise(2)
+    worst = F.max(doubt).over(W.partitionBy("doc_id", "invoice"))
+    found = found.withColumn("confidence", F.when(worst == 0, "high").when(worst == 1, "medium").otherwise("ambiguous"))
+    return found.select(*pages.columns, "invoice", "confidence")
 
 
 #: Roles that a line of a label and one number may sum up.

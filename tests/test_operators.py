@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,44 @@ def test_logical_invoices(spark):
     assert [got[4, p] for p in (0, 1)] == [(0, "ambiguous"), (0, "ambiguous")]
 
 
+def folded(pages):
+    """Invoice and confidence of a document's pages in order, one after the other."""
+    anchor = roles = None
+    groups = []
+    closed = True
+    for tables, own, title, head, continued, triples, terminal in pages:
+        if tables > 1:
+            start, sure = True, 2
+        elif not groups or (own and anchor and own != anchor):
+            start, sure = True, 0
+        elif own and own == anchor:
+            start, sure = False, 0
+        elif closed and (head or title):
+            start, sure = True, 0
+        elif head and head == roles:
+            start, sure = False, 0
+        else:
+            start, sure = False, 1 if not head and (triples >= 2 or continued or tables == 0) and not title else 2
+        if start:
+            groups.append([])
+            anchor = roles = None
+        groups[-1].append(sure)
+        anchor, roles, closed = anchor or own, head or roles, terminal
+    return [(i, ("high", "medium", "ambiguous")[max(g)]) for i, g in enumerate(groups) for _ in g]
+
+
+def test_logical_invoices_without_python(spark):
+    draw = random.Random(7)
+    documents = {d: [(draw.choice([0, 1, 1, 1, 1, 2]), draw.choice([None, None, "", "A", "B"]), draw.random() < 0.2, draw.choice([None, "", "x", "y"]), draw.random() < 0.3, draw.randrange(4), draw.random() < 0.4)
+                     for _ in range(draw.randrange(1, 30))] for d in range(300)}
+    rows = [(d, n, *p) for d, pages in documents.items() for n, p in enumerate(pages)]
+    draw.shuffle(rows)
+    found = invoices.logical_invoices(spark.createDataFrame(rows, "doc_id long, page int, tables int, anchor string, title boolean, roles string, continued boolean, triples int, terminal boolean"))
+    assert "Pandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # a Python group per document takes about a millisecond or more
+    got = {(r.doc_id, r.page): (r.invoice, r.confidence) for r in found.collect()}
+    assert got == {(d, n): x for d, pages in documents.items() for n, x in enumerate(folded(pages))}
+
+
 def test_provenance_score(spark):
     df = spark.createDataFrame([
         (1, "Smallpdf", "Mozilla", None, None, None, None, None), (2, "Billing 1", None, "D:20240101", "D:20240102", None, None, None),
