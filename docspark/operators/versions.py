@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,24 +32,46 @@ def changed_tokens(pairs: DataFrame, by: list[str]) -> DataFrame:
     return one("after", 1).unionByName(one("before", -1)).groupBy(*by, "token").agg(F.sum("n").cast("long").alias("change")).where("change <> 0")
 
 
-_CHANGE = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("op", "before", "after")]))
-
-
-@F.pandas_udf(_CHANGE)
-def sequence_changes(before: pd.Series, after: pd.Series) -> pd.Series:
+def _edits(a: str | None, b: str | None) -> Iterator[tuple[str, str, str]]:
     """Token changes in order: replaced blocks paired one to one, the rest inserted or deleted."""
-    def diff(a: str | None, b: str | None):
-        x, y = (a or "").split(), (b or "").split()
-        out = []
-        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op == "equal":
-                continue
-            for k in range(max(i2 - i1, j2 - j1)):
-                old, new = (x[i1 + k] if i1 + k < i2 else ""), (y[j1 + k] if j1 + k < j2 else "")
-                out.append({"op": "replace" if old and new else "delete" if old else "insert", "before": old, "after": new})
-        return out
-
-    return pd.Series([diff(a, b) for a, b in zip(before, after)])
+    x, y = (a or "").split(), (b or "").split()
+    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        if op == "equal":
+            continue
+        for k in range(max(i2 - i1, j2 - j1)):
+            old, new = (x[i1 + k] if i1 + k < i2 else ""), (y[j1 + k] if j1 + k < j2 else "")
+            yield ("replace" if old and new else "delete" if old else "insert"), old, new
+
+
+_EDITS = 4096  # changes that leave a Python worker at once
+
+
+def sequence_changes(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by, op, old, new: a row for each token change of each pair. The pairs are dealt evenly, as the comparison takes
+    longer than the move; a worker holds one batch of texts, one pair's tokens and at most _EDITS changes."""
+    rows = pairs.select(*by, "before", "after").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = T.StructType([*rows.schema.fields[: len(by)], *[T.StructField(c, T.StringType()) for c in ("op", "old", "new")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            edits: list[tuple[str, str, str]] = []
+
+            def packed() -> pa.RecordBatch:
+                keys = [column.take(pa.array(at, pa.int32())) for column in batch.columns[: len(by)]]
+                return pa.RecordBatch.from_arrays([*keys, *[pa.array(c, pa.string()) for c in zip(*edits)]], names=[*by, "op", "old", "new"])
+
+            for i in range(batch.num_rows):
+                for edit in _edits(batch.column(len(by))[i].as_py(), batch.column(len(by) + 1)[i].as_py()):
+                    at.append(i)
+                    edits.append(edit)
+                    if len(edits) == _EDITS:
+                        yield packed()
+                        at, edits = [], []
+            if edits:
+                yield packed()
+
+    return rows.mapInArrow(run, schema)
 
 
 def join_pages(before: DataFrame, after: DataFrame, keys: list[str], page: str, text: str) -> DataFrame:

@@ -456,8 +456,7 @@ def ver_added_tokens(spark, d):
 
 @query()
 def ver_diff_seq(spark, d):
-    rows = _pairs(spark, d).withColumn("c", F.explode(versions.sequence_changes("before", "after")))
-    return rows.select("conv_id", "turn", "c.op", F.col("c.before").alias("old"), F.col("c.after").alias("new"), text.change_kind("c.before", "c.after").alias("kind"))
+    return versions.sequence_changes(_pairs(spark, d), ["conv_id", "turn"]).withColumn("kind", text.change_kind("old", "new"))
 
 
 # -- layout and fonts ---------------------------------------------------------------------------------------------
