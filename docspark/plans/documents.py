@@ -328,8 +328,7 @@ def rev_objects(spark, d):
 SELECT doc_id, h + strlen((doc_id % 50)::VARCHAR) + strlen((h + (doc_id % 4 = 0)::INT)::VARCHAR) + strlen('xref. 2.' || repeat('0000000009 00000 n .', 2) || 'trailer.startxref .%%EOF.') AS truncate_len, doc_id % 4 = 0 AS failed,
   CASE WHEN doc_id % 4 > 0 THEN 0::BIGINT END AS idx FROM (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS h FROM documents)""")
 def rev_reconstruct(spark, d):
-    f = _tables(spark, d)
-    got = pdf_bytes.reconstructed(f, pdf_bytes.boundaries(pdf_bytes.scan(f)))
+    got = pdf_bytes.reconstructed(_tables(spark, d))
     return got.select(F.col("path").cast("long").alias("doc_id"), "truncate_len", F.col("reason").isNotNull().alias("failed"), F.col("idx").cast("long").alias("idx"))
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: What the scan looks for, in one pass over the bytes.
+#: What the scan looks for: how marks begin, and marks.
+_NAMES = (b"%%EOF", b"startxref", b"/Prev")
 _MARK = re.compile(rb"(?P<eof>%%EOF)(?:\r\n|\r|\n)?|(?P<start>startxref)\s+(\d+)|(?P<prev>/Prev)\s+(\d+)")
 _TAIL = re.compile(rb"startxref\s+(\d+)\s*\Z")
 _WINDOW = 128  # bytes before an end marker in which its startxref must lie
@@ -26,15 +28,16 @@ _BODY = re.compile(rb"\bstream\r?\n")
 
 # -- cross-reference sections -------------------------------------------------------------------------------------
 
-def classic_table(content: bytes, at: int) -> set[tuple[int, int]]:
+def classic_table(content: bytes, at: int, end: int | None = None) -> set[tuple[int, int]]:
     """Number and generation of the objects in use of the table at an offset, up to its trailer or what is no header."""
     found: set[tuple[int, int]] = set()
-    head = _XREF.match(content, at)
+    end = len(content) if end is None else end
+    head = _XREF.match(content, at, end)
     if not head:
         return found
     at, left = head.end(), 0  # left: entries that the last header still announces
-    while at < len(content):
-        line = _LINE.match(content, at)
+    while at < end:
+        line = _LINE.match(content, at, end)
         at, line = line.end(), line[0].strip()
         if b"trailer" in line:
             break
@@ -122,7 +125,16 @@ def stream_section(content: bytes, at: int, end: int) -> set[tuple[int, int]]:
 
 
 def section(content: bytes, at: int, end: int) -> set[tuple[int, int]]:
-    return classic_table(content[:end], at) if _XREF.match(content, at) else stream_section(content, at, end)
+    return classic_table(content, at, end) if _XREF.match(content, at, end) else stream_section(content, at, end)
+
+
+def _found(content: bytes, name: bytes, pattern: re.Pattern, start: int, end: int) -> Iterator[re.Match]:
+    """Matches of a pattern that begins with a name, the last one first."""
+    at = content.rfind(name, start, end)
+    while at >= 0:
+        if m := pattern.match(content, at, end):
+            yield m
+        at = content.rfind(name, start, at)
 
 
 def written(content: bytes, start: int, end: int) -> list[tuple[int, int]]:
@@ -130,10 +142,9 @@ def written(content: bytes, start: int, end: int) -> list[tuple[int, int]]:
     its last startxref names and of the stream that its last /XRefStm names, each if it lies in the increment."""
     found = set()
     if 0 <= start < end <= len(content):
-        for pattern in (_START, _STREAM):
-            at = -1
-            for m in pattern.finditer(content, start, end):
-                at = int(m[1])
+        for name, pattern in ((b"startxref", _START), (b"/XRefStm", _STREAM)):
+            m = next(_found(content, name, pattern, start, end), None)
+            at = int(m[1]) if m else -1
             if start <= at < end:
                 found |= section(content, at, end)
     return sorted(found)
@@ -143,8 +154,15 @@ def written(content: bytes, start: int, end: int) -> list[tuple[int, int]]:
 
 def marks(content: bytes) -> Iterator[tuple[str, int, int, int | None, bool | None]]:
     """Kind (eof, start or prev), offset, end, pointer and, of an end marker, whether a startxref ends right before it."""
-    last = 0
-    for m in _MARK.finditer(content):
+    last, at = 0, []
+    for name in _NAMES:  # none can begin within another mark, so each is looked for by itself
+        i = content.find(name)
+        while i >= 0:
+            at.append(i)
+            i = content.find(name, i + len(name))
+    for i in sorted(at):
+        if not (m := _MARK.match(content, i)):
+            continue
         if m["eof"]:
             tail = content[max(last, m.start() - _WINDOW) : m.start()]
             yield "eof", m.start(), m.end(), None, bool(_TAIL.search(tail))
@@ -153,15 +171,62 @@ def marks(content: bytes) -> Iterator[tuple[str, int, int, int | None, bool | No
             yield ("start", m.start(), m.end(), int(m[3]), None) if m["start"] else ("prev", m.start(), m.end(), int(m[5]), None)
 
 
+def _ends(content: bytes) -> Iterator[tuple[int, int, int, int, str | None, str | None, bool]]:
+    """Number, offset, end, end of the one before, last startxref and last /Prev since then, and whether it is valid, of
+    each end marker of a file."""
+    idx, last, pointers = 0, 0, {}
+    for kind, off, end, pointer, clean in marks(content):
+        if kind == "eof":
+            yield idx, off, end, last, pointers.get("start"), pointers.get("prev"), clean
+            idx, last, pointers = idx + 1, end, {}
+        else:
+            pointers[kind] = str(pointer)
+
+
+_ROWS = 4096  # rows that leave a Python worker at once
+
+
+def _each(files: DataFrame, rows_of: Callable[[bytes | None], Iterator[tuple]], schema: str, more: str | None = None) -> DataFrame:
+    """path and the rows of each file, as schema has them. Rows leave in batches of many files: a batch for a file would
+    take longer than most files. rows_of takes the content and, where named, the column more."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    taken = files.select("path", "content", *([more] if more else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = [pa.string(), *types]
+        for batch in batches:
+            rows: list[tuple] = []
+
+            def packed() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), to)], names=["path", *names])
+
+            for i in range(batch.num_rows):
+                path, *given = (column[i].as_py() for column in batch.columns)
+                for row in rows_of(*given):
+                    rows.append((path, *row))
+                    if len(rows) == _ROWS:
+                        yield packed()
+                        rows = []
+            if rows:
+                yield packed()
+
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    types = [arrow[c.split()[1]] for c in schema.split(", ")]
+    return taken.mapInArrow(run, "path string, " + schema)
+
+
 def scan(files: DataFrame) -> DataFrame:
     """path, kind, off, end_off, pointer, clean: a row for each mark. files: path, content. Pointers are texts of digits."""
-    def run(parts):
-        for part in parts:
-            for path, content in zip(part["path"], part["content"]):
-                rows = [(path, k, a, b, None if p is None else str(p), c) for k, a, b, p, c in marks(bytes(content or b""))]
-                yield pd.DataFrame(rows, columns=["path", "kind", "off", "end_off", "pointer", "clean"])
+    def rows(content: bytes | None) -> Iterator[tuple]:
+        return ((k, a, b, None if p is None else str(p), c) for k, a, b, p, c in marks(content or b""))
+
+    return _each(files, rows, "kind string, off long, end_off long, pointer string, clean boolean")
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, kind string, off long, end_off long, pointer string, clean boolean")
+def file_boundaries(files: DataFrame) -> DataFrame:
+    """The rows of ``boundaries`` from the files themselves: a file's marks are in one task, so nothing is dealt or
+    sorted. files: path, content."""
+    return _each(files, lambda content: _ends(content or b""), "idx int, off long, end_off long, from_off long, startxref string, prev string, valid boolean")
 
 
 def boundaries(found: DataFrame) -> DataFrame:
@@ -177,11 +242,23 @@ def boundaries(found: DataFrame) -> DataFrame:
     return rows.withColumn("from_off", F.coalesce(F.lag("end_off").over(W.partitionBy("path").orderBy("idx")), F.lit(0).cast("long")))
 
 
-def detected(files: DataFrame, bounds: DataFrame) -> DataFrame:
-    """path, size, valid, invalid, notes: one row per file, also for those that are empty or have no end marker."""
-    n = bounds.groupBy("path").agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
-    head = F.ltrim(F.decode("content", "ISO-8859-1"), F.lit(" \t\n\x0b\f\r"))
-    heads = files.select("path", F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"), F.coalesce(F.substring(head, 1, 5) == "%PDF-", F.lit(False)).alias("headed"))
+_HEAD = re.compile(rb"[ \t\n\x0b\f\r]*%PDF-")
+
+
+def detected(files: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """path, size, valid, invalid, notes: one row per file, also for those that are empty or have no end marker. Without
+    bounds they are those of the files, counted as the bytes are read."""
+    def counts(content: bytes | None) -> Iterator[tuple]:
+        content = content or b""
+        ends = [clean for kind, _, _, _, clean in marks(content) if kind == "eof"]
+        yield len(content), bool(_HEAD.match(content)), sum(ends), len(ends) - sum(ends)
+
+    if bounds is None:
+        heads = _each(files, counts, "size int, headed boolean, valid long, invalid long")
+    else:
+        n = bounds.groupBy("path").agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
+        head = F.ltrim(F.decode("content", "ISO-8859-1"), F.lit(" \t\n\x0b\f\r"))
+        heads = files.select("path", F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"), F.coalesce(F.substring(head, 1, 5) == "%PDF-", F.lit(False)).alias("headed")).join(n, "path", "left")
     v, i, full = F.coalesce("valid", F.lit(0)), F.coalesce("invalid", F.lit(0)), F.col("size") > 0
 
     def note(when: Column, *text: str | Column) -> Column:
@@ -191,23 +268,18 @@ def detected(files: DataFrame, bounds: DataFrame) -> DataFrame:
         note(~full, "empty file"), note(full & ~F.col("headed"), "no %PDF- header at the start"), note(full & (v + i == 0), "no end marker, so no revisions"),
         note((v == 0) & (i > 0), "no end marker closes a revision"), note(v == 1, "one revision: this method alone is inconclusive"),
         note(v > 1, v, " revisions before load tests"), note(i > 0, i, " end markers inside streams")))
-    return heads.join(n, "path", "left").select("path", "size", v.alias("valid"), i.alias("invalid"), notes.alias("notes"))
+    return heads.select("path", "size", v.alias("valid"), i.alias("invalid"), notes.alias("notes"))
 
 
 def revisions(files: DataFrame) -> DataFrame:
     """path, idx, off, end_off, valid, objects: one row per end marker; objects are those written since the last one.
     files: path, content. A file's bytes are read once, in its own task."""
-    def run(parts):
-        for part in parts:
-            for path, content in zip(part["path"], part["content"]):
-                rows, last, content = [], 0, bytes(content or b"")
-                ends = [(a, b, clean) for kind, a, b, _, clean in marks(content) if kind == "eof"]
-                for idx, (off, end, clean) in enumerate(ends):
-                    rows.append((path, idx, off, end, clean, [f"{o} {g}" for o, g in written(content, last, end)]))
-                    last = end
-                yield pd.DataFrame(rows, columns=["path", "idx", "off", "end_off", "valid", "objects"])
+    def rows(content: bytes | None) -> Iterator[tuple]:
+        content = content or b""
+        for idx, off, end, last, _, _, clean in _ends(content):
+            yield idx, off, end, clean, [f"{o} {g}" for o, g in written(content, last, end)]
 
-    return files.select("path", "content").mapInPandas(run, "path string, idx int, off long, end_off long, valid boolean, objects array<string>")
+    return _each(files, rows, "idx int, off long, end_off long, valid boolean, objects array<string>")
 
 
 def consecutive(found: DataFrame) -> DataFrame:
@@ -217,33 +289,41 @@ def consecutive(found: DataFrame) -> DataFrame:
 
 # -- load tests ---------------------------------------------------------------------------------------------------
 
-def unloadable(content: bytes) -> str | None:
-    """Why a file cut at an end marker cannot be loaded, by its structure: its last startxref must name a section with
-    objects, and it must not be encrypted. It isn't parsed further, nor repaired as a viewer would try."""
-    named = [int(m[1]) for m in _START.finditer(content)]
-    if not named or named[-1] >= len(content):
+def unloadable(content: bytes, end: int | None = None, start: int | None = None) -> str | None:
+    """Why a file cut at an end marker (at end, else as it is) cannot be loaded, by its structure: its last startxref
+    must name a section with objects, and it must not be encrypted. It isn't parsed further, nor repaired as a viewer
+    would try. start: what the last startxref names, if that is known."""
+    end = len(content) if end is None else end
+    if start is None:
+        m = next(_found(content, b"startxref", _START, 0, end), None)
+        start = int(m[1]) if m else None
+    if start is None or start >= end:
         return "unloadable: no section at the last startxref"
-    if not section(content, named[-1], len(content)):
+    if not section(content, start, end):
         return "unloadable: the section at the last startxref has no objects"
-    start = _XREF.match(content, named[-1])
-    trailer = content.find(b"trailer", named[-1]) if start else named[-1]
-    stop = content.find(b"startxref", trailer) if start else (m.start() if (m := _BODY.search(content, trailer)) else -1)
-    return "encrypted: a password is needed" if trailer >= 0 and b"/Encrypt" in content[trailer : stop if stop >= 0 else len(content)] else None
+    classic = _XREF.match(content, start, end)
+    trailer = content.find(b"trailer", start, end) if classic else start
+    stop = content.find(b"startxref", trailer, end) if classic else (m.start() if (m := _BODY.search(content, trailer, end)) else -1)
+    return "encrypted: a password is needed" if trailer >= 0 and content.find(b"/Encrypt", trailer, stop if stop >= 0 else end) >= 0 else None
 
 
-def reconstructed(files: DataFrame, bounds: DataFrame) -> DataFrame:
+def reconstructed(files: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """path, boundary, truncate_len, reason, idx: each valid boundary, tested on the bytes up to it. Those that load
     (no reason) are numbered anew from 0; those that don't are kept with their reason and no number. bounds: path, idx,
-    end_off, valid; a file's boundaries travel as one short list, so its bytes move once."""
+    end_off, valid; a file's boundaries travel as one short list, so its bytes move once. Without bounds they are those
+    of the files, and the bytes do not move."""
+    schema = "boundary int, truncate_len long, reason string, idx int"
+
+    def tested(content: bytes, cuts: Iterator[tuple[int, int]]) -> Iterator[tuple]:
+        named = [(m.end(), int(m[1])) for m in _found(content, b"startxref", _START, 0, len(content))][::-1]
+        ends, good = [e for e, _ in named], 0
+        for boundary, end in cuts:
+            k = bisect_right(ends, end)
+            reason = unloadable(content, end, named[k - 1][1] if k else end)
+            yield boundary, end, reason, None if reason else good
+            good += not reason
+
+    if bounds is None:
+        return _each(files, lambda content: tested(content or b"", ((e[0], e[2]) for e in _ends(content or b"") if e[6])), schema)
     cuts = bounds.where("valid").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", "end_off"))).alias("cuts"))
-
-    def run(parts):
-        for part in parts:
-            for path, content, cut in zip(part["path"], part["content"], part["cuts"]):
-                content = bytes(content)
-                rows = [(path, c["idx"], c["end_off"], unloadable(content[: c["end_off"]])) for c in cut]
-                yield pd.DataFrame(rows, columns=["path", "boundary", "truncate_len", "reason"])
-
-    tested = files.select("path", "content").join(cuts, "path").mapInPandas(run, "path string, boundary int, truncate_len long, reason string")
-    good = F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(W.partitionBy("path").orderBy("boundary")) - 1
-    return tested.withColumn("idx", F.when(F.col("reason").isNull(), good).cast("int"))
+    return _each(files.select("path", "content").join(cuts, "path"), lambda content, cuts: tested(content, ((c["idx"], c["end_off"]) for c in cuts)), schema, "cuts")

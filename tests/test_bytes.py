@@ -95,3 +95,24 @@ def test_requested_paths_never_raise(spark, tmp_path):
     assert got == [(n, s, False, "inconclusive", None, e) for n, e in ((names[1], "file not found"), (names[2], "is a directory")) for s in ("fonts", "revisions")]
     nothing, failed = scans.stage_rows(scans.requested(spark, names[1:2]), ["fonts"])
     assert nothing.count() == 0 and failed.count() == 1
+
+
+ODD = [("a", PDF), ("b", b"startxref\n1\n%%EOF\r\n/Prev 3 /Prev 4 startxref startxref 7\n%%EOF%%EOF"), ("c", b"nothing"), ("d", None), ("e", b""), ("f", b"\n %PDF- /Prev %%EOF startxref\n99%%EOF\r"),
+       ("g", ONE + b"startxref\n3\n%%EOF\n" + PDF[len(ONE):]), ("h", xref_stream(12)), ("i", xref_stream(0, PDF)), ("j", part(PDF, b"5 1\n0000000100 00000 n \n", b"<< /Encrypt 4 0 R >>\n") + b"%%EOF")]
+
+
+def plain(df):
+    return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reconstructed_in_one_pass(spark):
+    df = frame(spark, *ODD)
+    found = pdf_bytes.reconstructed(df)
+    assert plain(found) == plain(pdf_bytes.reconstructed(df, pdf_bytes.boundaries(pdf_bytes.scan(df)))) and "Exchange" not in executed(found)
+    for _, content in ODD:
+        for _, _, end, *_ in pdf_bytes._ends(content or b""):
+            assert pdf_bytes.unloadable(content, end) == pdf_bytes.unloadable(content[:end])
