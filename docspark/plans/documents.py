@@ -306,7 +306,7 @@ SELECT doc_id, n AS idx, h + {_CLOSED} * n + 23 AS off, h + {_CLOSED} * (n + 1)
 FROM (SELECT *, unnest(range(k)) AS n FROM ({_FILES_SQL}))
 UNION ALL SELECT doc_id, k, h + {_CLOSED} * k + 2, h + {_CLOSED} * k + 8, CASE WHEN k = 0 THEN 0 ELSE h + {_CLOSED} * k END, NULL, NULL, FALSE FROM ({_FILES_SQL}) WHERE fake""")
 def rev_pointers(spark, d):
-    got = pdf_bytes.boundaries(pdf_bytes.scan(_files(spark, d)))
+    got = pdf_bytes.file_boundaries(_files(spark, d))
     return got.select(F.col("path").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), "off", "end_off", "from_off", "startxref", "prev", "valid")
 
 

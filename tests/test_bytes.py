@@ -109,6 +109,12 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_boundaries_in_one_pass(spark):
+    df = frame(spark, *ODD)
+    found = pdf_bytes.file_boundaries(df)
+    assert plain(found) == plain(pdf_bytes.boundaries(pdf_bytes.scan(df))) and "Exchange" not in executed(found)
+
+
 def test_reconstructed_in_one_pass(spark):
     df = frame(spark, *ODD)
     found = pdf_bytes.reconstructed(df)
