@@ -296,8 +296,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, h + {_CLOSED} * k + CASE WHEN fake THEN 8 ELSE 0 END AS size, k AS valid, fake::INT::BIGINT AS invalid, 1 + (doc_id % 5 = 0)::INT + (k > 0 AND fake)::INT + (k = 0 AND fake)::INT::BIGINT AS notes FROM ({_FILES_SQL})""")
 def rev_detect(spark, d):
-    f = _files(spark, d)
-    got = pdf_bytes.detected(f, pdf_bytes.boundaries(pdf_bytes.scan(f)))
+    got = pdf_bytes.detected(_files(spark, d))
     return got.select(F.col("path").cast("long").alias("doc_id"), F.col("size").cast("long").alias("size"), "valid", "invalid", F.size("notes").cast("long").alias("notes"))
 
 

@@ -115,6 +115,12 @@ def test_boundaries_in_one_pass(spark):
     assert plain(found) == plain(pdf_bytes.boundaries(pdf_bytes.scan(df))) and "Exchange" not in executed(found)
 
 
+def test_detected_in_one_pass(spark):
+    df = frame(spark, *ODD)
+    found = pdf_bytes.detected(df)
+    assert plain(found) == plain(pdf_bytes.detected(df, pdf_bytes.boundaries(pdf_bytes.scan(df)))) and "Exchange" not in executed(found)
+
+
 def test_reconstructed_in_one_pass(spark):
     df = frame(spark, *ODD)
     found = pdf_bytes.reconstructed(df)
