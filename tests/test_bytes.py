@@ -128,3 +128,10 @@ def test_reconstructed_in_one_pass(spark):
     for _, content in ODD:
         for _, _, end, *_ in pdf_bytes._ends(content or b""):
             assert pdf_bytes.unloadable(content, end) == pdf_bytes.unloadable(content[:end])
+
+
+def test_files_share_batches(spark, monkeypatch):
+    monkeypatch.setattr(pdf_bytes, "_ROWS", 3)
+    found = pdf_bytes.revisions(frame(spark, *[(str(i), PDF) for i in range(5)]).coalesce(1))
+    assert [(r.path, r.idx, r.objects) for r in found.orderBy("path", "idx").collect()] == [(str(i), k, [o]) for i in range(5) for k, o in enumerate(("1 0", "2 1"))]
+    assert "InPandas" not in executed(found)  # there each file made a table of its own
