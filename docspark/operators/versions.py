@@ -8,7 +8,7 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +26,43 @@ def consecutive(versions: DataFrame, by: list[str], order: str, text: str) -> Da
     return versions.withColumn("before", F.lag(text).over(w)).withColumnRenamed(text, "after").where("before IS NOT NULL")
 
 
+def _row_changes(before: Column, after: Column) -> Column:
+    """array<struct<token, change>> of one pair: tokens, marked by side with white space, which no token holds, are
+    sorted; runs of equal ones are counted, and the two sides of a token, now neighbours, are summed."""
+    at = lambda a, i: F.get(a, i - 1)  # noqa: E731  (i from 1 on)
+    once = lambda a, f: F.transform(F.array(a), f)[0]  # noqa: E731  (a is worked out once, not for each element)
+    side = lambda c, mark: F.transform(F.coalesce(tokens(c), F.array().cast("array<string>")), lambda t: F.concat(t, F.lit(mark)))
+    places = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))
+    word = lambda t: F.substring(t, F.lit(1), F.length(t) - 1)
+
+    def runs(a: Column) -> Column:
+        ends = F.filter(places(a), lambda i: ~at(a, i).eqNullSafe(F.get(a, i)))
+        return once(ends, lambda e: F.transform(places(e), lambda j: F.struct(at(a, at(e, j)).alias("t"), (at(e, j) - F.coalesce(F.get(e, j - 2), F.lit(0))).alias("n"))))
+
+    def summed(r: Column) -> Column:
+        def change(j: Column) -> Column:
+            own, then = at(r, j), F.get(r, j)
+            less = own["t"].endswith("\n")
+            both = ~less & F.coalesce(then["t"] == F.concat(word(own["t"]), F.lit("\n")), F.lit(False))
+            taken = less & F.coalesce(F.get(r, j - 2)["t"] == F.concat(word(own["t"]), F.lit("\t")), F.lit(False))  # counted with its other side
+            n = F.when(taken, 0).when(less, -own["n"]).when(both, own["n"] - then["n"]).otherwise(own["n"])
+            return F.struct(word(own["t"]).alias("token"), n.cast("long").alias("change"))
+
+        return F.filter(F.transform(places(r), change), lambda x: x["change"] != 0)
+
+    return once(F.sort_array(F.concat(side(after, "\t"), side(before, "\n"))), lambda a: once(runs(a), summed))
+
+
 def changed_tokens(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """by, token, change: how many more (or, negative, fewer) times a token occurs after than before. One aggregation."""
-    one = lambda c, n: pairs.select(*by, F.explode(tokens(c)).alias("token"), F.lit(n).alias("n"))
-    return one("after", 1).unionByName(one("before", -1)).groupBy(*by, "token").agg(F.sum("n").cast("long").alias("change")).where("change <> 0")
+    """by, token, change: how many more (or, negative, fewer) times a token occurs after than before.
+
+    A pair alone under its keys is counted within its row, so a task holds texts, not a group for each of their tokens;
+    only pairs that share their keys are summed by an aggregation.
+    """
+    known = pairs.select(*by, "before", "after", F.count(F.lit(1)).over(W.partitionBy(*by)).alias("_pairs"))
+    own = lambda rows: rows.select(*by, F.inline(_row_changes(F.col("before"), F.col("after"))))
+    shared = own(known.where("_pairs > 1")).groupBy(*by, "token").agg(F.sum("change").alias("change")).where("change <> 0")
+    return own(known.where("_pairs = 1")).unionByName(shared)
 
 
 def _edits(a: str | None, b: str | None) -> Iterator[tuple[str, str, str]]:

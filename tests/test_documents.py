@@ -1,4 +1,7 @@
 import difflib
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +50,18 @@ def test_sequence_changes_leave_in_small_batches(spark, monkeypatch):
     assert got == sorted([(1, 0, "replace", "b", "x"), *[(1, 0, "insert", "", t) for t in "defg"], (2, 0, "insert", "", "n"), *[(2, 1, "delete", t, "") for t in "pqrstuv"], (2, 1, "replace", "k", "l")])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan  # no list of all changes of a batch, taken apart later
+
+
+def test_changed_tokens_are_counted_in_their_row(spark):
+    draw = random.Random(5)
+    line = lambda: draw.choice([None, "", " ", *[" ".join(draw.choice(["a", "aa", "a\x08", "ab", "B", "\xe9", "\U0001d51e", "\xa0"]) for _ in range(draw.randrange(1, 12))) + draw.choice(["", "\n", "\t\x0b x"]) for _ in range(9)]])
+    rows = [(i // 2 if i < 60 else i, draw.choice([1, None]), line(), line()) for i in range(200)]  # keys shared, keys of their own, null keys
+    found = versions.changed_tokens(spark.createDataFrame(rows, "conv int, turn int, before string, after string"), ["conv", "turn"])
+    want = Counter()
+    for conv, turn, before, after in rows:
+        for text, n in ((after, 1), (before, -1)):
+            for t in filter(None, re.split("[ \t\n\x0b\f\r]+", text or "")):
+                want[conv, turn, t] += n
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr((*k, n)) for k, n in want.items() if n)
+    plan = found.where("change > 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "(_pairs" in plan and "Union" in plan  # groups of tokens only where keys are shared
