@@ -55,14 +55,21 @@ def cluster_lines(df: DataFrame, by: list[str], value: str, tie: str, tolerance:
     return df.groupBy(*by).applyInPandas(lambda page: next(run(iter([page]))), schema)
 
 
+_SALTS = 64
+
+
 def assign_columns(cells: DataFrame, columns: DataFrame, by: list[str], at: str, center: str, role: str) -> DataFrame:
     """Nearest column: bands end half-way between neighbouring centers, the outer ones are open. columns is one row per
-    column of a table, so it is turned into bands once and joined by table and range."""
+    column of a table, so it is turned into bands once and joined by table and range. Bands go to a number of salts, over
+    which the cells of a table are dealt in turn, since few tables may have most cells."""
     w = W.partitionBy(*by).orderBy(center)
     bands = columns.select(*by, role, ((F.lag(center).over(w) + F.col(center)) / 2).alias("_lo"), ((F.lead(center).over(w) + F.col(center)) / 2).alias("_hi"))
+    salts = max(_SALTS, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bands = bands.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     x = F.col(at)
     inside = (F.col("_lo").isNull() | (x >= F.col("_lo"))) & (F.col("_hi").isNull() | (x < F.col("_hi")))
-    return cells.join(bands, by).where(inside).drop("_lo", "_hi")
+    dealt = cells.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    return dealt.join(bands, [*by, "_salt"]).where(inside).drop("_lo", "_hi", "_salt")
 
 
 def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:

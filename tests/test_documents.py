@@ -65,3 +65,17 @@ def test_changed_tokens_are_counted_in_their_row(spark):
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr((*k, n)) for k, n in want.items() if n)
     plan = found.where("change > 1")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and "(_pairs" in plan and "Union" in plan  # groups of tokens only where keys are shared
+
+
+def test_cells_of_one_table_are_dealt(spark):
+    cells = spark.range(4000).select(F.lit(1).alias("page"), F.col("id"), (F.col("id") % 40).cast("double").alias("x"))
+    columns = spark.createDataFrame([(1, 10.0, "qty"), (1, 20.0, "rate"), (1, 32.0, "amount"), (2, 1.0, "none")], "page int, c double, role string")
+    found = layout.assign_columns(cells, columns.hint("merge"), ["page"], "x", "c", "role")
+    assert found.columns == ["page", "id", "x", "role"]
+    assert {(r.x, r.role) for r in found.collect()} == {(float(x), "qty" if x < 15 else "rate" if x < 26 else "amount") for x in range(40)} and found.count() == 4000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        in_parts = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(in_parts) > 1 and max(in_parts) < 3000
